@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, text_column
-from .words import distinct, mix, seeds, shingle_hashes, word_hashes
+from .words import PLAIN, distinct, mix, seeds, shingle_hashes, word_hashes
 
 # Wordings of well-known licence notices.
 TEMPLATES = {
@@ -37,8 +37,6 @@ TEMPLATES = {
 }
 
 WIDTH = 2
-#: ASCII punctuation stands as space, so that commas and full stops don't matter.
-_PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
 def bands_for(similarity: float, rows: int, probability: float) -> int:
@@ -52,7 +50,7 @@ class Scanner:
     def __init__(self, templates: dict[str, str], share: float = 0.8, rows: int = 2, probability: float = 1 - 1e-6, salt: int = 7):
         self.share, self.rows = share, rows
         self.names = sorted(templates)
-        texts = [templates[n].encode().translate(_PLAIN) for n in self.names]
+        texts = [templates[n].encode().translate(PLAIN) for n in self.names]
         words = [h[a:b] for _, _, h, bounds in word_hashes(texts) for a, b in zip(bounds, bounds[1:])]
         if any(len(w) < WIDTH for w in words):
             raise ValueError(f"a template has {WIDTH} words at least")
@@ -147,7 +145,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, shar
         own = Scanner(chosen, share)
         for batch in (s for b in batches for s in slices(b)):
             ids, rows = batch.column(0).to_pylist(), []
-            texts = [t.translate(_PLAIN) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            texts = [t.translate(PLAIN) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for first, _, hashes, bounds in word_hashes(texts):
                 for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
                     rows += [(ids[first + i], names[k], start, found) for k, start, found in own.scan(hashes[a:b])]

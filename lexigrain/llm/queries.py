@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_crf, license_scan, packing, rp_forest, transport_stream
+from . import byte_bpe, html_crf, license_scan, packing, rp_forest, toxicity, transport_stream
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.grade_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_crf.extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -38,6 +43,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_html_extraction": op2_html_extraction,
     "op3_packing": op3_packing,
     "op4_nearest_neighbours": op4_nearest_neighbours,

@@ -56,11 +56,13 @@ with np.errstate(over="ignore"):
     _INV = _powers(pow(_BASE, -1, 1 << 64), CHUNK + 1)
 
 
-def _hash_buffer(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the words of a buffer of CHUNK bytes at most."""
+def _hash_buffer(buffer: np.ndarray, prefix: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of a buffer of CHUNK bytes at most; with ``prefix`` of their first bytes only."""
     inside = ~_SPACE[buffer]
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, ends = edges[::2], edges[1::2]
+    if prefix:
+        ends = np.minimum(ends, starts + prefix)
     total = np.zeros(len(buffer) + 1, np.uint64)
     np.cumsum(_OF_BYTE[buffer] * _POW[: len(buffer)], out=total[1:])
     raw = (total[ends] - total[starts]) * _INV[starts]
@@ -77,7 +79,7 @@ def _hash_long_word(data: bytes) -> np.uint64:
     return mix(np.array([(total + len(data) * _BASE) & MASK], np.uint64))[0]
 
 
-def _hash_long(data: bytes) -> np.ndarray:
+def _hash_long(data: bytes, prefix: int = 0) -> np.ndarray:
     """Hashes of the words of a text longer than a buffer."""
     out, a = [], 0
     space = _SPACE[np.frombuffer(data, np.uint8)]
@@ -90,16 +92,19 @@ def _hash_long(data: bytes) -> np.ndarray:
             else:
                 rest = np.flatnonzero(space[b:])
                 b = b + int(rest[0]) if len(rest) else len(data)
-                out.append(np.array([_hash_long_word(data[a:b])], np.uint64))
+                out.append(np.array([_hash_long_word(data[a : min(b, a + (prefix or b))])], np.uint64))
                 a = b
                 continue
-        out.append(_hash_buffer(np.frombuffer(data, np.uint8)[a:b])[0])
+        out.append(_hash_buffer(np.frombuffer(data, np.uint8)[a:b], prefix)[0])
         a = b
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def word_hashes(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last + 1, hashes, bounds) for runs of texts: text first + i has hashes[bounds[i]:bounds[i + 1]]."""
+def word_hashes(texts: list[bytes], prefix: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last + 1, hashes, bounds) for runs of texts: text first + i has hashes[bounds[i]:bounds[i + 1]].
+
+    With ``prefix`` only so many bytes of each word count.
+    """
     first = 0
     with np.errstate(over="ignore"):
         while first < len(texts):
@@ -108,12 +113,12 @@ def word_hashes(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.n
                 size += len(texts[last]) + 1
                 last += 1
             if last == first:
-                hashes = _hash_long(texts[first])
+                hashes = _hash_long(texts[first], prefix)
                 yield first, first + 1, hashes, np.array([0, len(hashes)])
                 first += 1
                 continue
             some = texts[first:last]
-            hashes, starts, _ = _hash_buffer(np.frombuffer(b"\n".join(some), np.uint8))
+            hashes, starts, _ = _hash_buffer(np.frombuffer(b"\n".join(some), np.uint8), prefix)
             begins = np.cumsum([0, *(len(t) + 1 for t in some)])
             yield first, last, hashes, np.searchsorted(starts, begins)
             first = last
@@ -153,3 +158,7 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
                 yield shingle_hashes(hashes[a:b], b - a) ^ _U(b - a)
             else:
                 yield np.zeros(0, np.uint64)
+
+
+#: For ``bytes.translate``: ASCII punctuation as space.
+PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
