@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_crf, license_scan, packing, rp_forest, toxicity, transport_stream
+from . import byte_bpe, html_crf, license_scan, minhash_dedup, packing, rp_forest, toxicity, transport_stream
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.group_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_html_extraction": op2_html_extraction,
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_transport_streams": op5_transport_streams,
     "op8_license_scan": op8_license_scan,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_minhash_dedup": op10_minhash_dedup,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
