@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_crf, license_scan, line_dedup, minhash_dedup, packing, rp_forest, toxicity, transport_stream
+from . import brown_lm, byte_bpe, html_crf, license_scan, line_dedup, minhash_dedup, packing, rp_forest, toxicity, transport_stream
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op5_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.store_texts(table(spark, sf_dir, "documents"))
 
 
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.link_lines(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_transport_streams": op5_transport_streams,
+    "op6_brown_lm": op6_brown_lm,
     "op7_line_dedup": op7_line_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_byte_bpe": op9_byte_bpe,

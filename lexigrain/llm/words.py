@@ -56,13 +56,15 @@ with np.errstate(over="ignore"):
     _INV = _powers(pow(_BASE, -1, 1 << 64), CHUNK + 1)
 
 
-def _hash_buffer(buffer: np.ndarray, prefix: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the words of a buffer of CHUNK bytes at most; with ``prefix`` of their first bytes only."""
+def _hash_buffer(buffer: np.ndarray, prefix: int = 0, ending: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of a buffer of CHUNK bytes at most; of their first ``prefix`` or last ``ending`` bytes only."""
     inside = ~_SPACE[buffer]
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, ends = edges[::2], edges[1::2]
     if prefix:
         ends = np.minimum(ends, starts + prefix)
+    if ending:
+        starts = np.maximum(starts, ends - ending)
     total = np.zeros(len(buffer) + 1, np.uint64)
     np.cumsum(_OF_BYTE[buffer] * _POW[: len(buffer)], out=total[1:])
     raw = (total[ends] - total[starts]) * _INV[starts]
@@ -162,3 +164,19 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
 
 #: For ``bytes.translate``: ASCII punctuation as space.
 PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+
+
+def words_and_endings(texts: list[bytes], size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``word_hashes``, with the hashes of the words' last ``size`` bytes before the bounds."""
+    for first, last, hashes, bounds in word_hashes(texts):
+        if last - first == 1 and len(texts[first]) >= CHUNK:
+            text = texts[first]
+            inside = ~_SPACE[np.frombuffer(text, np.uint8)]
+            stops = np.flatnonzero(np.diff(inside, prepend=False, append=False))[1::2]
+            begins = np.maximum(np.flatnonzero(np.diff(inside, prepend=False, append=False))[::2], stops - size)
+            tails = b"\n".join(text[a:b] for a, b in zip(begins.tolist(), stops.tolist()))
+            endings = _hash_long(tails)
+        else:
+            with np.errstate(over="ignore"):
+                endings = _hash_buffer(np.frombuffer(b"\n".join(texts[first:last]), np.uint8), 0, size)[0]
+        yield first, last, hashes, endings, bounds
