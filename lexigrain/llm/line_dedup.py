@@ -445,10 +445,12 @@ def drop_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     without any text by this is dropped, one that was empty before stays, as do
     rows with a null doc_id.
     """
-    gone = cut(link_lines(docs, settings).where("not kept").groupBy("doc_id").agg(F.collect_list("line_no").alias("gone")))
-    names = docs.columns
+    names, lost = docs.columns, "lost"
+    while lost in names:
+        lost += "_"
+    gone = cut(link_lines(docs, settings).where("not kept").groupBy("doc_id").agg(F.collect_list("line_no").alias(lost)))
     plain = docs.where("doc_id is null")
-    touched = semi(docs, gone.select("doc_id"), "doc_id").join(gone, "doc_id").select(*names, "gone")
+    touched = semi(docs, gone.select("doc_id"), "doc_id").join(gone, "doc_id").select(*names, lost)
     text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
