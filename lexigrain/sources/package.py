@@ -1,0 +1,131 @@
+"""ZIP packages of office documents: admission checks, parts, relationships."""
+
+from __future__ import annotations
+
+import io
+import posixpath
+import re
+import xml.etree.ElementTree as ET
+import zipfile
+from dataclasses import dataclass
+
+# Limits of a package, and namespaces.
+MAX_ENTRIES, MAX_ENTRY_BYTES, MAX_TOTAL_BYTES = 10_000, 50 << 20, 500 << 20
+LEAST_RATIO, RATIO_FROM_BYTES = 0.01, 100_000
+REL = "{http://schemas.openxmlformats.org/package/2006/relationships}"
+R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+class PackageError(ValueError):
+    """The bytes aren't a package that may be read."""
+
+
+@dataclass(frozen=True)
+class Relationship:
+    source_part: str
+    id: str
+    type: str
+    target: str
+    external: bool
+    resolved: str
+
+    @property
+    def kind(self) -> str:
+        return self.type.rsplit("/", 1)[-1]
+
+
+def safe_name(name: str) -> bool:
+    """Not absolute, without a drive letter, never upwards."""
+    return not re.match(r"[/\\]|[A-Za-z]:", name) and ".." not in re.split(r"[/\\]", name)
+
+
+def resolve_target(source_part: str, target: str) -> str:
+    """The part a relative target means, seen from its source part."""
+    if target.startswith("/"):
+        return posixpath.normpath(target).lstrip("/")
+    return posixpath.normpath(posixpath.join(posixpath.dirname(source_part), target))
+
+
+class Package:
+    """Parts of one document by name; PackageError where a check fails."""
+
+    def __init__(self, data: bytes):
+        try:
+            self._zip = zipfile.ZipFile(io.BytesIO(data))
+        except (zipfile.BadZipFile, ValueError, OSError) as e:
+            raise PackageError(str(e)) from e
+        self.entries = [e for e in self._zip.infolist() if not e.is_dir()]
+        self._check()
+        self.names = {e.filename for e in self.entries}
+        self._links: dict[str, list[Relationship]] = {}
+
+    def _check(self) -> None:
+        if len(self.entries) > MAX_ENTRIES:
+            raise PackageError(f"more than {MAX_ENTRIES} entries")
+        seen = set()
+        for e in self.entries:
+            if not safe_name(e.filename):
+                raise PackageError(f"unsafe name {e.filename!r}")
+            if e.flag_bits & 1:
+                raise PackageError(f"{e.filename} is encrypted")
+            if e.filename.lower() in seen:
+                raise PackageError(f"{e.filename} is there twice")
+            seen.add(e.filename.lower())
+            if e.file_size > MAX_ENTRY_BYTES:
+                raise PackageError(f"{e.filename} is too large")
+            if e.file_size > RATIO_FROM_BYTES and e.compress_size < LEAST_RATIO * e.file_size:
+                raise PackageError(f"{e.filename} is packed too tightly")
+        if sum(e.file_size for e in self.entries) > MAX_TOTAL_BYTES:
+            raise PackageError("the package is too large")
+
+    def read(self, name: str) -> bytes:
+        try:
+            return self._zip.read(name)
+        except (KeyError, zipfile.BadZipFile, RuntimeError, OSError) as e:
+            raise PackageError(f"{name} can't be read: {e}") from e
+
+    def xml(self, name: str) -> ET.Element | None:
+        """The part's root; null where it is missing. Entity declarations are refused."""
+        if name not in self.names:
+            return None
+        data = self.read(name)
+        if b"<!DOCTYPE" in data[:4096] or b"<!ENTITY" in data:
+            raise PackageError(f"{name} declares entities")
+        try:
+            return ET.fromstring(data)
+        except ET.ParseError as e:
+            raise PackageError(f"{name} isn't well formed: {e}") from e
+
+    def links(self, part: str) -> list[Relationship]:
+        """The relationships of a part (the package's own for an empty name)."""
+        if part not in self._links:
+            folder, base = posixpath.split(part)
+            root = self.xml(posixpath.join(folder, "_rels", base + ".rels"))
+            out = []
+            for e in root.findall(REL + "Relationship") if root is not None else ():
+                target, external = e.get("Target", ""), e.get("TargetMode") == "External"
+                out.append(Relationship(part, e.get("Id", ""), e.get("Type", ""), target, external, target if external else resolve_target(part, target)))
+            self._links[part] = out
+        return self._links[part]
+
+    def link(self, part: str, rel_id: str | None) -> Relationship | None:
+        return next((r for r in self.links(part) if r.id == rel_id), None)
+
+    def linked(self, part: str, kind: str) -> list[Relationship]:
+        return [r for r in self.links(part) if r.kind == kind]
+
+    def main_part(self) -> str:
+        """The document's root part; PackageError where there is none."""
+        if "[Content_Types].xml" not in self.names:
+            raise PackageError("no [Content_Types].xml")
+        found = self.linked("", "officeDocument")
+        if not found or found[0].resolved not in self.names:
+            raise PackageError("no main part")
+        return found[0].resolved
+
+    def all_links(self) -> list[Relationship]:
+        out = list(self.links(""))
+        for name in sorted(self.names):
+            if not name.endswith(".rels"):
+                out += self.links(name)
+        return out
