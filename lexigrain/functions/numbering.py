@@ -94,7 +94,7 @@ def chinese(n: int, digits: str = "零一二三四五六七八九", units: str =
     out = four(high) + "万" if high else ""
     if low:
         out += (digits[0] if high and low < 1000 else "") + four(low)
-    return out[1:] if short_ten and 10 <= n < 20 else out
+    return out[1:] if short_ten and (10 <= n < 20 or 10 <= high < 20) else out
 
 
 def circled(n: int) -> str:

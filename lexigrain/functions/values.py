@@ -31,7 +31,7 @@ def decimal_text(value: Column) -> Column:
     mantissa = F.regexp_replace(F.split_part(short, F.lit("E"), F.lit(1)), r"\.0$", "")
     power = F.split_part(short, F.lit("E"), F.lit(2)).try_cast("int")
     sign = F.when(power < 0, "-").otherwise("+")
-    scientific = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
+    scientific = F.concat(mantissa, F.lit("e"), sign, F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
     size = F.abs(value)
     return F.when((size != 0) & ((size < 1e-4) | (size >= 1e16)) & short.contains("E"), scientific).when(short.contains("E"), plain).otherwise(short)
 
