@@ -37,7 +37,7 @@ class Settings:
     """``edits``: between linked lines at most; ``least_chars``: shorter lines take no part; ``block``: lines of a key checked in one piece."""
 
     edits: int = 2
-    least_chars: int = 32
+    least_chars: int = 20
     block: int = 256
 
 

@@ -183,8 +183,8 @@ def test_lines_that_many_share_are_passed_on(spark):
 
 def test_dropped_lines(spark):
     line = "this is a line of more than thirty-two characters"
-    rows = [(2, f"first\n{line}!\nlast", 5), (1, f"{line}\nown words", 5), (3, line, 5), (4, "", 0), (5, f"{line}\n{line}\nx", 5)]
-    out = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()
+    texts = [(2, f"first\n{line}!\nlast"), (1, f"{line}\nown words"), (3, line), (4, ""), (5, f"{line}\n{line}\nx")]
+    out = line_dedup.drop_lines(spark.createDataFrame([(i, t, len(t)) for i, t in texts], "doc_id long, text string, n_chars long")).collect()
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out} == {1: (f"{line}\nown words", len(line) + 10), 2: ("first\nlast", 10), 4: ("", 0), 5: ("x", 1)}
 
 
