@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -35,8 +36,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a batch handed to Python: JVM and worker hold several of them at once, for every task.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Makes the session's Arrow batches BATCH_BYTES long where they may be longer; long texts come in batches of few rows."""
+    if int(re.match(r"\d+", spark.conf.get(_BATCH_CONF))[0]) > BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def text_column(df: DataFrame, name: str = "text") -> Column:
-    """The column as a string, null as empty."""
+    """The column as a string, null as empty, to be mapped in bounded batches."""
+    bound_batches(df.sparkSession)
     return F.coalesce(df[name].cast("string"), F.lit(""))
 
 
