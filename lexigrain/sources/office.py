@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from lexigrain.sources import figures
 from lexigrain.sources.package import Package, PackageError
 from lexigrain.sources.workbooks import Workbook
 from lexigrain.sources.writings import Deck, Writing
@@ -40,6 +41,9 @@ def _cells(p: Package) -> Iterator[dict]:
 ENTITIES: dict[str, tuple[str, str, Rows]] = {
     "package_entries": ("", "name string, compressed long, uncompressed long, crc long", _entries),
     "relationships": ("", "source_part string, id string, type string, target string, external boolean, resolved_target string", _links),
+    "charts": ("", "part string, title string, type string, series int, name string, plot string, axes map<string,string>, categories array<string>, values array<string>, x array<string>, y array<string>, size array<string>", figures.charts),
+    "diagram_nodes": ("", "part string, node int, kind string, text string", figures.diagram_nodes),
+    "diagram_links": ("", "part string, kind string, from_node int, to_node int", figures.diagram_links),
     "xlsx_sheets": ("xlsx", "ord int, name string, state string, part string, kind string", lambda p: iter(Workbook(p).sheets)),
     "xlsx_cells": ("xlsx", "sheet string, row int, col int, ref string, text string, raw string, type string, formula string, style int, rowspan int, colspan int, shadow boolean, hyperlink string, comment string", _cells),
     "xlsx_tables": ("xlsx", "id string, sheet string, name string, ref string, columns array<string>", lambda p: Workbook(p).tables()),

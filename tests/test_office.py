@@ -77,10 +77,25 @@ def deck():
     })
 
 
+def figures():
+    ns = 'xmlns:c="http://schemas.openxmlformats.org/drawingml/2006/chart" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:dgm="http://schemas.openxmlformats.org/drawingml/2006/diagram"'
+    cache = lambda tag, *items: f"<c:{tag}><c:strCache>" + "".join(f'<c:pt idx="{k}"><c:v>{v}</c:v></c:pt>' for k, v in items) + f"</c:strCache></c:{tag}>"
+    word = lambda t: f"<a:p><a:r><a:t>{t}</a:t></a:r></a:p>"
+    node = lambda i, t: f'<dgm:pt modelId="{i}"><dgm:t>{word(t) if t else ""}</dgm:t></dgm:pt>'
+    series = "<c:ser>" + cache("tx", (0, "Sales")) + cache("cat", (0, "Q1"), (2, "Q3")) + cache("val", (0, "1"), (1, "2"), (1, "5")) + "</c:ser>"
+    levels = '<c:ser><c:cat><c:multiLvlStrRef><c:lvl><c:pt idx="0"><c:v>Jan</c:v></c:pt></c:lvl><c:lvl><c:pt idx="0"><c:v>2024</c:v></c:pt></c:lvl></c:multiLvlStrRef></c:cat></c:ser>'
+    return package({
+        "_rels/.rels": links(("r1", "officeDocument", "ppt/presentation.xml", "")),
+        "ppt/presentation.xml": "<x/>",
+        "ppt/charts/chart1.xml": f'<c:chartSpace {ns}><c:chart><c:title><c:tx><c:rich>{word("Total")}</c:rich></c:tx></c:title><c:plotArea><c:barChart>{series}</c:barChart><c:lineChart>{levels}</c:lineChart><c:valAx><c:axId val="7"/></c:valAx></c:plotArea></c:chart></c:chartSpace>',
+        "ppt/diagrams/data1.xml": f'<dgm:dataModel {ns}><dgm:ptLst>{node("a", "Start")}{node("b", "")}{node("c", "")}</dgm:ptLst><dgm:cxnLst><dgm:cxn modelId="1" srcId="a" destId="b"/><dgm:cxn modelId="2" type="presOf" srcId="a" destId="zz"/></dgm:cxnLst></dgm:dataModel>',
+    })
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("office")
-    for name, data in (("a.xlsx", workbook()), ("b.docx", writing()), ("c.pptx", deck()), ("bad.docx", b"not a zip"), ("empty.xlsx", package({}))):
+    for name, data in (("a.xlsx", workbook()), ("b.docx", writing()), ("c.pptx", deck()), ("d.zip", figures()), ("bad.docx", b"not a zip"), ("empty.xlsx", package({}))):
         (path / name).write_bytes(data)
     return str(path)
 
@@ -145,3 +160,11 @@ def test_refused_packages():
         Package(package({"A.xml": "x", "a.xml": "y"}))
     assert resolve_target("xl/worksheets/sheet1.xml", "../tables/t.xml") == "xl/tables/t.xml"
     assert resolve_target("xl/a.xml", "/xl/b.xml") == "xl/b.xml"
+
+
+def test_charts_and_diagrams(spark, folder):
+    series = rows(spark, folder, "charts", "series")
+    assert [(r["type"], r["plot"], r["title"], r["name"], r["categories"], r["values"]) for r in series] == [("combination", "barChart", "Total", "Sales", ["Q1", "", "Q3"], ["1", "5"]), ("combination", "lineChart", "Total", None, ["2024 / Jan"], [])]
+    assert series[0]["axes"] == {"7": ""}
+    assert [(r["node"], r["text"]) for r in rows(spark, folder, "diagram_nodes", "node")] == [(1, "Start"), (2, "")]
+    assert [(r["kind"], r["from_node"], r["to_node"]) for r in rows(spark, folder, "diagram_links", "kind")] == [("parOf", 1, 2), ("presOf", 1, None)]
