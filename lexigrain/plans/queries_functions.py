@@ -48,9 +48,9 @@ def q_format_full(spark, sf_dir):
 
 @query("q_numbering_full")
 def q_numbering_full(spark, sf_dir):
-    names = spark.createDataFrame([(n,) for n in sorted(numbering.FORMATS)], "format string")
-    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).alias("k"))
-    return n.crossJoin(F.broadcast(names)).withColumn("label", references.string_udf(lambda k, f: numbering.format_number(int(k), f), F.col("k").cast("string"), F.col("format")))  # some 30 formats
+    names = F.array(*map(F.lit, sorted(numbering.FORMATS)))
+    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).alias("k"), F.explode(names).alias("format"))
+    return n.withColumn("label", references.string_udf(lambda k, f: numbering.format_number(int(k), f), F.col("k").cast("string"), F.col("format")))
 
 
 @query("q_formula_shift", "select s_suppkey, 'SUM(A' || (1 + s_suppkey % 7) || ':$B$2)*C' || (3 + s_suppkey % 7) as shifted from supplier")
@@ -71,6 +71,6 @@ def q_equation_latex(spark, sf_dir):
 
 @query("q_color_resolve")
 def q_color_resolve(spark, sf_dir):
-    slots = spark.createDataFrame([(s,) for s in sorted(colors.THEME)], "slot string")
-    steps = table(spark, sf_dir, "region").select((F.col("r_regionkey") * 20 + 10).alias("lum"))
-    return slots.crossJoin(F.broadcast(steps)).withColumn("color", references.string_udf(lambda s, p: colors.resolve("scheme", s, [("lumMod", int(p) / 100)]), F.col("slot"), F.col("lum").cast("string")))  # 5 rows
+    slots = F.array(*map(F.lit, sorted(colors.THEME)))
+    steps = table(spark, sf_dir, "region").select((F.col("r_regionkey") * 20 + 10).alias("lum"), F.explode(slots).alias("slot"))
+    return steps.withColumn("color", references.string_udf(lambda s, p: colors.resolve("scheme", s, [("lumMod", int(p) / 100)]), F.col("slot"), F.col("lum").cast("string")))

@@ -83,8 +83,8 @@ def q_header_dedup(spark, sf_dir):
 select count(*) as n, round(cast(sum(cast(o_totalprice as decimal(18,2))) as double), 1) as total, min(o_totalprice) as least, max(o_totalprice) as most, round(avg(o_totalprice), 2) as mean from orders where o_orderkey > (select min(o_orderkey) from orders)""")
 def q_table_column_aggregate(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    header = orders.agg(F.min("o_orderkey").alias("header"))
-    rows = orders.crossJoin(F.broadcast(header)).where("o_orderkey > header")  # the header is one row
+    header = orders.agg(F.min("o_orderkey")).first()[0]
+    rows = orders.where(F.col("o_orderkey") > F.lit(header).cast("long"))
     price = F.col("o_totalprice")
     return rows.agg(F.count("*").alias("n"), F.round(F.sum(price.cast("decimal(18,2)")).cast("double"), 1).alias("total"), F.min(price).alias("least"), F.max(price).alias("most"), F.round(F.avg(price), 2).alias("mean"))
 
