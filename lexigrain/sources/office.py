@@ -7,6 +7,7 @@ by the tasks that read them; a file that can't be parsed gives a row of the
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,11 +16,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from lexigrain.sources import figures
+from lexigrain.sources.legacy import BinaryWorkbook
 from lexigrain.sources.package import Package, PackageError
 from lexigrain.sources.workbooks import Workbook
 from lexigrain.sources.writings import Deck, Writing
 
-Rows = Callable[[Package], Iterator[dict]]
+#: From a package, or the bytes of a binary workbook.
+Rows = Callable[..., Iterator[dict]]
 
 
 def _entries(p: Package) -> Iterator[dict]:
@@ -48,6 +51,8 @@ ENTITIES: dict[str, tuple[str, str, Rows]] = {
     "xlsx_cells": ("xlsx", "sheet string, row int, col int, ref string, text string, raw string, type string, formula string, style int, rowspan int, colspan int, shadow boolean, hyperlink string, comment string", _cells),
     "xlsx_tables": ("xlsx", "id string, sheet string, name string, ref string, columns array<string>", lambda p: Workbook(p).tables()),
     "xlsx_names": ("xlsx", "name string, refers_to string, scope string", lambda p: (dict(zip(("name", "refers_to", "scope"), n)) for n in Workbook(p).names)),
+    "xls_sheets": ("xls", "ord int, name string, state string, kind string", lambda d: ({k: s[k] for k in ("ord", "name", "state", "kind")} for s in BinaryWorkbook(d).sheets)),
+    "xls_cells": ("xls", "sheet string, row int, col int, ref string, text string, raw string, type string", lambda d: BinaryWorkbook(d).cells()),
     "docx_blocks": ("docx", "ord int, type string, level int, style_id string, text string, label string, list_level int, page int, page_end int, table_id string", lambda p: Writing(p).blocks()),
     "docx_table_cells": ("docx", "table_id string, row int, col int, row_span int, col_span int, v_merge string, is_header boolean, text string", lambda p: Writing(p).table_cells()),
     "docx_notes": ("docx", "kind string, id string, text string, author string, date string", lambda p: Writing(p).notes()),
@@ -71,11 +76,18 @@ def parse_files(files: DataFrame, entity: str) -> DataFrame:
                     continue
                 found = []
                 try:
-                    package = Package(data or b"")
-                    found = [{"doc_id": path, **r} for r in rows(package)]
-                    if entity == "warnings":
-                        package.main_part()
-                except (PackageError, ValueError, AttributeError) as e:
+                    if path.lower().endswith(".xls"):
+                        content = data or b""
+                        if entity == "warnings":
+                            BinaryWorkbook(content)
+                        elif suffix != "xls":
+                            continue
+                    else:
+                        content = Package(data or b"")
+                        if entity == "warnings":
+                            content.main_part()
+                    found = [{"doc_id": path, **r} for r in rows(content)]
+                except (PackageError, ValueError, AttributeError, struct.error, IndexError) as e:
                     found = [{"doc_id": path, "message": str(e)}] if entity == "warnings" else []
                 for a in range(0, len(found), 5000):
                     yield pa.RecordBatch.from_pylist(found[a : a + 5000], schema=arrow)
