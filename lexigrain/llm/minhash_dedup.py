@@ -164,7 +164,8 @@ def _apart(pairs: DataFrame, labels: DataFrame, sets: DataFrame, settings: Setti
     known = labels.select(F.col("id").alias("b"), "component")
     tagged = family.join(known, "b", "left").select("a", "b", F.coalesce("component", "b").alias("c"))
     hubs = tagged.where("a = b").select("a", F.col("c").alias("hub_c"))
-    counts = tagged.join(hubs, "a").groupBy("a", "hub_c").agg(F.count("*").alias("n"), F.sum((F.col("c") != F.col("hub_c")).cast("long")).alias("odd"))
+    sizes = tagged.groupBy("a", "c").agg(F.count("*").alias("m"))  # few rows each, even for a hub with many members
+    counts = sizes.join(hubs, "a").groupBy("a", "hub_c").agg(F.sum("m").alias("n"), F.sum(F.when(F.col("c") != F.col("hub_c"), F.col("m")).otherwise(0)).alias("odd"))
     open_ = counts.where("odd > 0 and n > 2").select("a", "hub_c", (F.col("n") / block).cast("int").alias("top_m"), (F.col("odd") / block).cast("int").alias("top_u"))
     rows = cut(tagged.join(open_, "a"))
     asks = rows.where("c <> hub_c").select("a", F.pmod(F.xxhash64("b"), F.col("top_u") + 1).cast("int").alias("u"), F.explode(F.sequence(F.lit(0), "top_m")).alias("m"), F.lit(0).alias("role"), "b", "c")
