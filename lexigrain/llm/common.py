@@ -36,6 +36,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a table that was written that one task goes on with, at least.
+ROWS_A_TASK = 100_000
+
+
+def cut_small(df: DataFrame) -> DataFrame:
+    """``cut`` for tables that may be far smaller than their partitions are many: ROWS_A_TASK rows to a task go on."""
+    out = cut(df)
+    return out.coalesce(out.count() // ROWS_A_TASK + 1)
+
+
 #: Bytes of a batch handed to Python: JVM and worker hold several of them at once, for every task.
 BATCH_BYTES = 4 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, text_column
+from .common import cut, cut_small, slices, text_column
 from .linkage import components, semi
 from .words import CHUNK, MASK, _powers, mix, seeds
 
@@ -417,17 +417,17 @@ def link_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     docs = docs.where("doc_id is not null")
     found = cut(occurrences(docs, settings))
-    shared = cut(_shared_keys(docs, settings).distinct())
+    shared = cut_small(_shared_keys(docs, settings).distinct())
     marks = shared.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("line") % (1 << 40)).alias("s"), F.bit_xor(F.xxhash64("line", F.lit(1))).alias("x"))
     # keys with the same lines say the same: one of them stays
     kept_keys = marks.groupBy("n", "s", "x").agg(F.min("key").alias("key"))
-    entries = cut(shared.join(kept_keys.select("key", "n"), "key"))
-    own_keys = cut(entries.groupBy("line").agg(F.collect_list("key").alias("own_keys")))
+    entries = cut_small(shared.join(kept_keys.select("key", "n"), "key"))
+    own_keys = cut_small(entries.groupBy("line").agg(F.collect_list("key").alias("own_keys")))
     texts = semi(_line_texts(docs, settings), own_keys.select("line"), "line").dropDuplicates(["line"])
     blocks = entries.select("key", "line", (F.col("n") / settings.block).cast("int").alias("top")).withColumn("part", F.pmod(F.xxhash64("line"), F.col("top") + 1).cast("int"))
     dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), "top"))).join(texts.join(own_keys, "line"), "line")
     dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "line", "own_keys", "text")
-    checked = cut(_check(dealt, settings))
+    checked = cut_small(_check(dealt, settings))
     labels = components(checked.where("b is not null").select("a", "b"))
     counts = checked.where("b is null").groupBy(F.col("a").alias("line")).agg(F.sum("n").alias("n_links"))
     first = found.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
@@ -448,7 +448,7 @@ def drop_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     names, lost = docs.columns, "lost"
     while lost in names:
         lost += "_"
-    gone = cut(link_lines(docs, settings).where("not kept").groupBy("doc_id").agg(F.collect_list("line_no").alias(lost)))
+    gone = cut_small(link_lines(docs, settings).where("not kept").groupBy("doc_id").agg(F.collect_list("line_no").alias(lost)))
     plain = docs.where("doc_id is null")
     touched = semi(docs, gone.select("doc_id"), "doc_id").join(gone, "doc_id").select(*names, lost)
     text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None

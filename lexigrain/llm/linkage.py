@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import ROWS_A_TASK, cut
 
 #: Ids that may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 200_000
@@ -26,17 +26,20 @@ def components(links: DataFrame) -> DataFrame:
 
     Labels fall to the smallest neighbour's and then to their own label's label,
     until none changes; a star needs two rounds, a chain a number that grows with
-    the logarithm of its length. Lineage is cut after every round.
+    the logarithm of its length. Lineage is cut after every round. Tasks are as
+    many as ROWS_A_TASK links each ask for: rounds over few links are small jobs.
+    ``links`` is counted first and should be cut off from its lineage.
     """
+    tasks = 2 * links.count() // ROWS_A_TASK + 1
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = cut(both.where("a <> b").distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("component")))
+    edges = cut(both.where("a <> b").distinct().coalesce(tasks))
+    labels = cut(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("component")).coalesce(tasks))
     while True:
-        near = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
+        near = edges.join(labels, edges.b == labels.id).select("a", "component").coalesce(tasks).groupBy("a").agg(F.min("component").alias("near"))
         met = labels.join(near, labels.id == near.a).select("id", F.col("component").alias("before"), F.least("component", "near").alias("c"))
-        met = cut(met)
+        met = cut(met.coalesce(tasks))
         jump = met.select(F.col("id").alias("c"), F.col("c").alias("further"))
-        nearer = cut(met.join(jump, "c").select("id", "before", F.least("c", "further").alias("component")))
+        nearer = cut(met.join(jump, "c").select("id", "before", F.least("c", "further").alias("component")).coalesce(tasks))
         labels = nearer.select("id", "component")
         if not nearer.where("before <> component").limit(1).count():
             return labels

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, text_column
+from .common import cut, cut_small, slices, text_column
 from .linkage import components, semi
 from .words import mix, seeds, shingle_sets
 
@@ -167,7 +167,7 @@ def _apart(pairs: DataFrame, labels: DataFrame, sets: DataFrame, settings: Setti
     sizes = tagged.groupBy("a", "c").agg(F.count("*").alias("m"))  # few rows each, even for a hub with many members
     counts = sizes.join(hubs, "a").groupBy("a", "hub_c").agg(F.sum("m").alias("n"), F.sum(F.when(F.col("c") != F.col("hub_c"), F.col("m")).otherwise(0)).alias("odd"))
     open_ = counts.where("odd > 0 and n > 2").select("a", "hub_c", (F.col("n") / block).cast("int").alias("top_m"), (F.col("odd") / block).cast("int").alias("top_u"))
-    rows = cut(tagged.join(open_, "a"))
+    rows = cut_small(tagged.join(open_, "a"))
     asks = rows.where("c <> hub_c").select("a", F.pmod(F.xxhash64("b"), F.col("top_u") + 1).cast("int").alias("u"), F.explode(F.sequence(F.lit(0), "top_m")).alias("m"), F.lit(0).alias("role"), "b", "c")
     told = rows.select("a", F.explode(F.sequence(F.lit(0), "top_u")).alias("u"), F.pmod(F.xxhash64("b"), F.col("top_m") + 1).cast("int").alias("m"), F.lit(1).alias("role"), "b", "c")
     dealt = asks.union(told).join(sets, F.col("b") == F.col("id")).select("a", "u", "m", "role", "b", "c", "set")
@@ -211,16 +211,16 @@ def group_documents(docs: DataFrame, settings: Settings = DOCUMENTS) -> DataFram
     tables = [F.xxhash64(F.lit(t), F.col("collections")[i], F.col("collections")[j]) for t, (i, j) in enumerate(combinations(range(settings.collections), 2))]
     keyed = classes.select("rep", F.explode(F.array(*tables)).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    entries = cut(keyed.join(shared, "key"))
+    entries = cut_small(keyed.join(shared, "key"))
     central = entries.groupBy("rep").agg(F.sum("n").alias("agreed"))
     hubs = entries.join(central, "rep").groupBy("key").agg(F.max(F.struct("agreed", (-F.col("rep")).alias("minus"))).alias("best")).select("key", (-F.col("best.minus")).alias("a"))
-    pairs = cut(entries.join(hubs, "key").where("a <> rep").select("a", F.col("rep").alias("b")).distinct())
-    wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    pairs = cut_small(entries.join(hubs, "key").where("a <> rep").select("a", F.col("rep").alias("b")).distinct())
+    wanted = cut_small(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_column(docs).alias("text"))
     sets = cut(_sets(semi(texts, wanted, "id"), settings).dropDuplicates(["id"]))
-    links = cut(_verify(pairs, sets, settings))
+    links = cut_small(_verify(pairs, sets, settings))
     labels = components(links)
-    more = cut(_apart(pairs, labels, sets, settings))
+    more = cut_small(_apart(pairs, labels, sets, settings))
     if more.limit(1).count():
         labels = components(links.union(more))
     named = named.join(classes.select("low", "high", "rep"), ["low", "high"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")))
@@ -231,5 +231,5 @@ def group_documents(docs: DataFrame, settings: Settings = DOCUMENTS) -> DataFram
 
 def keep_one(docs: DataFrame, settings: Settings = STAGE) -> DataFrame:
     """The rows of ``docs``, all columns as they are, but for documents whose group has one with a smaller id."""
-    gone = cut(group_documents(docs, settings).where("not kept").select("doc_id").distinct())
+    gone = cut_small(group_documents(docs, settings).where("not kept").select("doc_id").distinct())
     return semi(docs, gone, "doc_id", "left_anti").select(*docs.columns)
