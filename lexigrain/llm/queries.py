@@ -68,4 +68,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_minhash_dedup": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as t from documents),
+s as (
+  select doc_id, case when len(t) = 0 then [] when len(t) < 3 then [array_to_string(t, ' ')]
+    else list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) end as shingles from w),
+n as (select doc_id, len(shingles) as n from s),
+e as (select doc_id, unnest(shingles) as shingle from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from e a join e b on a.shingle = b.shingle and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+d as (select a, b from l union select b, a from l),
+r(a, b) as (select doc_id, doc_id from documents union select r.a, d.b from r join d on r.b = d.a)
+select doc_id, n::bigint as n_shingles, min(b) as component_id, doc_id = min(b) as kept from n join r on r.a = doc_id group by doc_id, n""",
+}
