@@ -34,11 +34,21 @@ _LETTER = seeds(1 << 16, 9)
 
 @dataclass(frozen=True)
 class Settings:
-    """``edits``: between linked lines at most; ``least_chars``: shorter lines take no part; ``block``: lines of a key checked in one piece."""
+    """``edits``: between linked lines at most; ``least_chars``: shorter lines have no links; ``block``: lines of a key checked in one piece; ``exact_chars``: shorter lines take no part, those from here to ``least_chars`` as exact copies only (None: there are none such)."""
 
     edits: int = 2
     least_chars: int = 20
     block: int = 256
+    exact_chars: int | None = None
+
+    @property
+    def floor(self) -> int:
+        """Code points of the shortest line that takes part."""
+        return self.least_chars if self.exact_chars is None else min(self.exact_chars, self.least_chars)
+
+
+#: What the query and the stage use: every line that isn't empty takes part.
+ALL_LINES = Settings(exact_chars=1)
 
 
 # ---------------------------------------------------------------- lines and keys
@@ -224,7 +234,7 @@ def occurrences(docs: DataFrame, settings: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for x in batches for s in slices(x)):
-            for lines in lines_of(b.column(1).to_pylist(), settings.least_chars):
+            for lines in lines_of(b.column(1).to_pylist(), settings.floor):
                 columns = [b.column(0).take(pa.array(lines.owner)), pa.array(lines.number.astype(np.int64)), pa.array(lines.ids()), pa.array(lines.sizes.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "line", "chars"])
 
@@ -402,15 +412,16 @@ def _check(dealt: DataFrame, settings: Settings) -> DataFrame:
 
 
 def link_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row per line of ``least_chars`` code points at least: doc_id, line_no, chars, class_doc_id, class_line_no, n_links, kept.
+    """One row per line of ``settings.floor`` code points at least: doc_id, line_no, chars, class_doc_id, class_line_no, n_links, kept.
 
     Lines are what line feeds part, numbered from 0. Equal lines are one line;
-    n_links is the number of different lines within ``edits`` edits of it. Its
+    n_links is the number of different lines within ``edits`` edits of it, none
+    for a line under ``least_chars``, whose class is its exact copies. A line's
     class holds all lines reachable by links; class_doc_id and class_line_no are
     the class's first line by (doc_id, line_no), which alone is kept. Code points
     are what is counted. Lines stand as 63-bit hashes; keys as 64-bit ones.
 
-    Null texts and texts without long lines have no rows; rows with a null doc_id
+    Null texts and texts without lines of that length have no rows; rows with a null doc_id
     take no part; rows that repeat an id and a text repeat their lines, kept or
     not as one. An empty table gives no rows; other columns are ignored; texts
     and lines are read whole.
@@ -455,15 +466,16 @@ def drop_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for x in batches for s in slices(x, text_at)):
-            texts = []
+            texts, blank = [], []
             for text, lost in zip(b.column(text_at).to_pylist(), b.column(len(names)).to_pylist()):
                 lost = set(lost)
-                texts.append("\n".join(line for k, line in enumerate((text or "").split("\n")) if k not in lost or len(line) < settings.least_chars))
+                blank.append(not (text or "").strip())
+                texts.append("\n".join(line for k, line in enumerate((text or "").split("\n")) if k not in lost or len(line) < settings.floor))
             columns = list(b.columns[: len(names)])
             columns[text_at] = pa.array(texts, columns[text_at].type)
             if chars_at is not None:
                 columns[chars_at] = pa.array(list(map(len, texts)), columns[chars_at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array([bool(t.strip()) for t in texts], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array([was or bool(t.strip()) for t, was in zip(texts, blank)], pa.bool_()))
 
     rest = semi(docs.where("doc_id is not null"), gone.select("doc_id"), "doc_id", "left_anti").select(*names)
     return rest.union(plain).union(touched.mapInArrow(run, docs.schema))

@@ -38,7 +38,7 @@ def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.link_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.link_lines(table(spark, sf_dir, "documents"), line_dedup.ALL_LINES)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
