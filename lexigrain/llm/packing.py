@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import array
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -123,19 +124,34 @@ def binary_tail(pieces: list, tokens: int) -> Iterator[list]:
         yield own
 
 
+def added_tokens(json_path: str) -> tuple[tuple[str, int], ...]:
+    """(content, id) of the added tokens of a tokenizer's JSON form, which texts are split at before anything else."""
+    with open(json_path, encoding="utf-8") as file:
+        told = json.load(file)
+    tokens = told["added_tokens"]
+    for t in tokens:
+        if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] and told["normalizer"]:
+            raise ValueError(f"the added token {t['content']!r} asks for more than a plain match")
+        if any(o is not t and o["content"].startswith(t["content"]) for o in tokens):
+            raise ValueError(f"the added token {t['content']!r} begins another one")
+    return tuple((t["content"], t["id"]) for t in tokens)
+
+
 @functools.lru_cache(maxsize=2)
-def encoder(ranks_path: str, pattern: str):
+def encoder(ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
+    """A function from a text to its ids; the ``added`` tokens are found in texts as one id each."""
     import tiktoken
 
     from .byte_bpe import read_ranks
 
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
+    encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens=dict(added))
+    return functools.partial(encoding.encode, allowed_special="all", disallowed_special=()) if added else encoding.encode_ordinary
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, limits: Limits | None = None, end_id: int = 1) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, limits: Limits | None = None, end_id: int = 1, json_path: str | None = None) -> DataFrame:
     """Packs every document's ids, then ``end_id``, into sequences of at most ``limits.tokens``.
 
     One row per piece: doc_id, start (its document's ids before it), length,
@@ -145,8 +161,10 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, limits: Limit
     own; what is left of each document goes through the packer. A task's last,
     part-filled sequence is cut at powers of two, which need no padding.
 
-    The ids are those of the vocabulary's JSON form; the rank form of the same
-    vocabulary is used because its library is several times faster. A null or
+    The ids are those of the vocabulary's JSON form at its default setting; the
+    rank form of the same vocabulary is used because its library is several times
+    faster, with the added tokens of ``json_path`` (without it a text that holds
+    one is encoded as plain text). The driver reads that file. A null or
     empty text is the end id alone; a null doc_id stays null; repeated rows are
     packed each; an empty table gives no rows; other columns are ignored.
     Sequence numbers depend on how the input is split among tasks only.
@@ -155,8 +173,10 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, limits: Limit
     if own.loss_tokens < own.tokens:
         raise ValueError("all tokens of a document bear loss: loss_tokens must be tokens at least")
 
+    added = added_tokens(json_path) if json_path else ()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path, pattern).encode_ordinary
+        encode = encoder(ranks_path, pattern, added)
         packer = Packer(own)
         held: dict[int, list] = {}  # number -> [doc_id, ids, first id held, left to place]
         sequence = TaskContext.get().partitionId() << LOCAL_BITS
