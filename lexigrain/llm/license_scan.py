@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import slices, text_column
 from .words import PLAIN, distinct, mix, seeds, shingle_hashes, word_hashes
 
-# Wordings of well-known licence notices.
+# Wordings of well-known licence notices. Of licences whose notices
+# differ in a word or two, those are given that hold the words they differ in.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
@@ -34,6 +35,17 @@ TEMPLATES = {
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced",
+    "all-rights-reserved-bare": "All rights reserved.",
+    "lgpl": "GNU Lesser General Public License",
+    "agpl": "GNU Affero General Public License",
+    "cc-by-sa-4.0": "Attribution-ShareAlike 4.0 International",
+    "cc-by-sa-4.0-short": "CC BY-SA 4.0",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+    "epl-2.0": "made available under the terms of the Eclipse Public License 2.0",
+    "bsd-disclaimer": "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "cc0-1.0": "CC0 1.0 Universal",
+    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
 }
 
 WIDTH = 2
