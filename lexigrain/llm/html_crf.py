@@ -178,7 +178,7 @@ def _attribute_slots(attrs: str) -> tuple[int, ...]:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             found.add("unseen")
         elif name in ("class", "id", "role", "itemprop", "aria-label"):
-            found |= {"n:" + p.lower().rstrip("s") for p in PART.findall(value)[:12]}
+            found |= {"n:" + p.lower().rstrip("s") for p in PART.findall(value)}
     return tuple(sorted({_slot(f) for f in found}))
 
 
@@ -192,7 +192,8 @@ def features(page: Page) -> list[tuple[int, ...]]:
         if tag in UNSEEN:
             slots.append(_slot("no text"))
         if attrs:
-            slots += _attribute_slots(attrs) if len(attrs) < 2000 else _attribute_slots(attrs[:2000])
+            # long attributes, data in them say, aren't held in the cache
+            slots += _attribute_slots(attrs) if len(attrs) < 2000 else _attribute_slots.__wrapped__(attrs)
         out.append(tuple(slots))
     return out
 
