@@ -13,8 +13,9 @@ from __future__ import annotations
 import array
 import functools
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -137,18 +138,39 @@ def added_tokens(json_path: str) -> tuple[tuple[str, int], ...]:
     return tuple((t["content"], t["id"]) for t in tokens)
 
 
+#: Code points from which a text is cut at pre-tokens here: the library's own matching fails on very long runs of white space.
+LONG_TEXT = 100_000
+
+
 @functools.lru_cache(maxsize=2)
-def encoder(ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
+def encoder(ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> Callable[[str], list[int]]:
     """A function from a text to its ids; the ``added`` tokens are found in texts as one id each."""
     import tiktoken
 
-    from .byte_bpe import read_ranks
+    from .byte_bpe import codec, read_ranks
+
+    encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
+    ids_of_added = dict(added)
+    find = re.compile("(" + "|".join(map(re.escape, ids_of_added)) + ")").split if added else None
+
+    def plain(text: str) -> list[int]:
+        return encoding.encode_ordinary(text) if len(text) < LONG_TEXT else codec(ranks_path, pattern).encode(text)
+
+    def encode(text: str) -> list[int]:
+        if find is None or not any(t in text for t in ids_of_added):
+            return plain(text)
+        out: list[int] = []
+        for part in find(text):
+            if part in ids_of_added:
+                out.append(ids_of_added[part])
+            elif part:
+                out += plain(part)
+        return out
 
-    encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens=dict(added))
-    return functools.partial(encoding.encode, allowed_special="all", disallowed_special=()) if added else encoding.encode_ordinary
+    return encode
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, limits: Limits | None = None, end_id: int = 1, json_path: str | None = None) -> DataFrame:
@@ -172,13 +194,38 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, limits: Limit
     own = limits or Limits()
     if own.loss_tokens < own.tokens:
         raise ValueError("all tokens of a document bear loss: loss_tokens must be tokens at least")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"), F.lit(True).alias("loss"))
+    return _pack_texts(texts, own, ranks_path, pattern, end_id, json_path)
+
+
+def pack_conversations(turns: DataFrame, ranks_path: str, pattern: str, limits: Limits | None = None, learnt: str = "assistant", end_id: int = 1, json_path: str | None = None) -> DataFrame:
+    """Packs the turns of conversations as instruction data under all three limits.
+
+    A turn's ids, then ``end_id``, are one example; they bear loss where its
+    ``role`` is ``learnt`` and none otherwise. Rows are as those of
+    ``pack_documents``, with conv_id and turn in place of doc_id and loss_tokens
+    (of the piece) at the end. A turn may be cut; all of it bears loss or none of
+    it does, so a piece's loss is exact. A null text is empty, a null role isn't
+    ``learnt``, null ids stay null; repeated rows are packed each; an empty table
+    gives no rows; other columns are ignored.
+    """
+    own = limits or Limits(segments=16, loss_tokens=1024)
+    texts = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text_column(turns).alias("text"), F.coalesce(F.col("role") == learnt, F.lit(False)).alias("loss"))
+    packed = _pack_texts(texts.select("conv_id", "text", "loss", "turn"), own, ranks_path, pattern, end_id, json_path)
+    return packed.select("conv_id", "turn", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
+
 
+def _pack_texts(texts: DataFrame, own: Limits, ranks_path: str, pattern: str, end_id: int, json_path: str | None) -> DataFrame:
+    """Pieces of texts. ``texts``: an id, the text, whether its ids bear loss, and with a second id also that and loss_tokens come back."""
     added = added_tokens(json_path) if json_path else ()
+    ids_named = [c for c in texts.columns if c not in ("text", "loss")]
+    several = len(ids_named) > 1
+    schema = ", ".join([*(f"{c} long" for c in ids_named), SCHEMA, *(["loss_tokens long"] if several else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks_path, pattern, added)
         packer = Packer(own)
-        held: dict[int, list] = {}  # number -> [doc_id, ids, first id held, left to place]
+        held: dict[int, list] = {}  # number -> [ids of the row, ids of its text, first id held, left to place, all ids, loss]
         sequence = TaskContext.get().partitionId() << LOCAL_BITS
         rows: list[tuple] = []
         number = 0
@@ -190,7 +237,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, limits: Limit
                 doc = held[key]
                 begin = doc[2] + start
                 crc = zlib.crc32(doc[1][4 * start : 4 * (start + n)])
-                rows.append((doc[0], begin, n, crc, doc[4], sequence, offset))
+                rows.append((*doc[0], begin, n, crc, doc[4], sequence, offset, *([n if doc[5] else 0] if several else ())))
                 offset += n
                 doc[3] -= n
                 if not doc[3]:
@@ -198,27 +245,29 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, limits: Limit
             sequence += 1
 
         def out() -> pa.RecordBatch:
-            columns = list(zip(*rows)) or [()] * 7
+            names = [x.split()[0] for x in schema.split(", ")]
+            columns = list(zip(*rows)) or [()] * len(names)
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
         for batch in (s for b in batches for s in slices(b)):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for first, text, loss, *others in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = encode(text)
                 ids.append(end_id)
                 data, total = array.array("I", ids).tobytes(), len(ids)
-                whole = total - total % own.tokens
+                # a stretch that fills a sequence by itself needs no packer
+                whole = total - total % own.tokens if not loss or own.loss_tokens >= own.tokens else 0
                 for a in range(0, whole, own.tokens):
                     crc = zlib.crc32(data[4 * a : 4 * (a + own.tokens)])
-                    rows.append((doc_id, a, own.tokens, crc, total, sequence, 0))
+                    rows.append((first, *others, a, own.tokens, crc, total, sequence, 0, *([own.tokens if loss else 0] if several else ())))
                     sequence += 1
                 if left := total - whole:
-                    held[number] = [doc_id, data[4 * whole :], whole, left, total]
-                    for pieces in packer.add(number, left, left):
+                    held[number] = [(first, *others), data[4 * whole :], whole, left, total, loss]
+                    for pieces in packer.add(number, left, left if loss else 0):
                         place(pieces)
                     number += 1
-            if len(rows) > 20_000:
-                yield out()
+                if len(rows) > 20_000:
+                    yield out()
         closed = list(packer.rest())
         for pieces in closed[:-1]:
             place(pieces)
@@ -226,7 +275,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, limits: Limit
             place(pieces)
         yield out()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text")).mapInArrow(run, SCHEMA)
+    return texts.mapInArrow(run, schema)
 
 
 def pack_examples(examples: DataFrame, limits: Limits | None = None) -> DataFrame:

@@ -25,6 +25,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, json_path=public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing of ``op3_packing`` for instruction data, where tokens, segments and loss-bearing tokens all have their limits."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.pack_conversations(table(spark, sf_dir, "conversations"), ranks, public_tokenizers.PATTERN, json_path=public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_html_extraction": op2_html_extraction,
     "op3_packing": op3_packing,
+    "pack_conversations": pack_conversations,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_transport_streams": op5_transport_streams,
     "op6_brown_lm": op6_brown_lm,

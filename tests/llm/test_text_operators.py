@@ -55,10 +55,9 @@ def test_packing_covers_every_id_once(documents):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rows = documents.collect()
     ids = {r["doc_id"]: [*e.ids, 1] for r, e in zip(rows, tokenizer.encode_batch([r["text"] for r in rows], add_special_tokens=False))}
-    pieces = packing.pack_documents(documents, RANKS, P.PATTERN).collect()
+    pieces = packing.pack_documents(documents, RANKS, P.PATTERN, json_path=P.path("byte_bpe_50k.json")).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for p in pieces:
         by_doc[p["doc_id"]].append(p)
