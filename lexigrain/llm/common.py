@@ -20,10 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is set (tests)."""
+    """The folder all executors share; one of our own only where none is set and all runs in one process (tests).
+
+    RuntimeError on a cluster that names none: a folder of the driver's own would lose data there.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="lexigrain-checkpoints-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
