@@ -1,18 +1,23 @@
-"""Nearest neighbours by a forest of random-projection trees.
+"""Nearest neighbours by forests of random-projection trees.
 
-The trees' planes are fitted on a bounded sample; every row is put into one leaf
-of each tree. A query walks all trees with one shared priority queue, nearest
-plane first, until the leaves it has taken hold a given share of the sample.
-Leaf candidates are scored exactly, block by block, and the best kept.
+Rows are dealt into cells of bounded size by hash of their id. Each cell has a
+forest of its own over all its rows: a tree halves its rows again and again at
+the median of their projections on a direction, drawn at random and then bent
+towards the rows' spread by two power steps. A query takes leaves from all trees
+of a cell through one shared priority queue, nearest region first, as many as the
+budget says. The vectors of its leaves, each once, are scored exactly.
+
+A region's distance never falls on the way down and one child has its parent's.
+So the nearest L leaves have no ancestor that isn't among the nearest L nodes of
+its level: the queue is worked off level by level for many queries at once, with
+L places for each query, and gives the leaves it would give one by one.
 
 The largest inner product is sought. Vectors get one more component that brings
-all of them to the largest norm, which makes it the smallest angle; trees split
-by the difference of two sampled vectors at the median.
+all of them to the largest norm of the cell, which makes it the smallest distance.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,114 +26,169 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sampled rows covered at least, whatever the share: small tables are searched whole.
-LEAST_COVERED = 512
+#: Rows of a node that its direction is bent by, at most.
+SPREAD_ROWS = 64
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample``: rows the planes are fitted on; ``leaf``: of these in a leaf at most; ``share``: of the sample that a query's leaves cover; ``block``: rows of a leaf scored in one piece."""
-
-    trees: int = 12
-    sample: int = 16_384
-    leaf: int = 512
-    share: float = 0.64
-    block: int = 4_096
+    """``leaf``: rows of a leaf at most; ``cell_bytes``: of a cell's vectors; a query's leaves hold ``factor * n ** power`` of a cell's n vectors, one met twice counted twice; up to ``whole`` vectors are searched whole; ``part``: queries of a cell that one task answers where cells are few, ``tasks`` in all."""
+
+    trees: int = 32
+    leaf: int = 32
+    factor: float = 5.5
+    power: float = 0.74
+    whole: int = 512
+    cell_bytes: int = 64 << 20
+    part: int = 1024
+    tasks: int = 16
     seed: int = 5
 
+    def leaves(self, n: int, depth: int) -> int:
+        """Leaves that a query takes among ``n`` vectors."""
+        size = max(1, n >> depth)
+        return max(1, min(self.trees << depth, int(self.factor * n**self.power / size) + 1))
+
 
 class Tree:
-    """``planes[k]``, ``cuts[k]``: inner node k; ``kids[k]``: its children, a leaf's number n as -1 - n."""
+    """A balanced tree: node j of level l holds ``order[edges(l)[j]:edges(l)[j + 1]]``, its plane ``planes[l][j]`` is cut at ``cuts[l][j]``."""
 
     def __init__(self, points: np.ndarray, leaf: int, rng: np.random.Generator):
-        self.planes, self.cuts, self.kids, self.leaves = [], [], [], 0
-        waiting = [(np.arange(len(points)), None)]
-        while waiting:
-            rows, place = waiting.pop()
-            split = self._split(points, rows, leaf, rng)
-            if split is None:
-                node, self.leaves = -1 - self.leaves, self.leaves + 1
+        n, reach = len(points), 2.5 * float(np.linalg.norm(points[0]))
+        self.depth = 0
+        while n > leaf << self.depth:
+            self.depth += 1
+        self.order = np.arange(n, dtype=np.int32)
+        self.planes, self.cuts = [], []
+        for level in range(self.depth):
+            edges = self.edges(level)
+            sizes = np.diff(edges)
+            planes = self._directions(points, edges, sizes, rng)
+            along = np.empty(n, np.float32)
+            if level < 9:
+                for a, z, plane in zip(edges, edges[1:], planes):
+                    along[a:z] = points[self.order[a:z]] @ plane
             else:
-                plane, cut, low, high = split
-                node = len(self.kids)
-                self.planes.append(plane)
-                self.cuts.append(cut)
-                self.kids.append([0, 0])
-                waiting += [(low, (node, 0)), (high, (node, 1))]
-            if place is None:
-                self.root = node
+                along = np.einsum("nd,nd->n", points[self.order], np.repeat(planes, sizes, axis=0))
+            # all points have the same norm, so this sorts within each node
+            ranked = np.argsort(np.repeat(np.arange(len(sizes)), sizes) + (along / reach).astype(np.float64))
+            self.order, along = self.order[ranked], along[ranked]
+            middle = self.edges(level + 1)[1::2]
+            self.planes.append(planes)
+            self.cuts.append((along[middle - 1] + along[middle]) / 2)
+        self.leaves = self.edges(self.depth)
+
+    def edges(self, level: int) -> np.ndarray:
+        return len(self.order) * np.arange((1 << level) + 1, dtype=np.int64) >> level
+
+    def _directions(self, points: np.ndarray, edges: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        some = min(SPREAD_ROWS, int(sizes.max()))
+        at = edges[:-1, None] + (rng.random((len(sizes), some)) * sizes[:, None]).astype(np.int64)
+        rows = points[self.order[at]]
+        rows = rows - rows.mean(axis=1, keepdims=True)
+        out = rng.normal(size=(len(sizes), points.shape[1])).astype(points.dtype)
+        for _ in range(2):
+            bent = np.matmul(rows.transpose(0, 2, 1), np.matmul(rows, out[:, :, None]))[:, :, 0]
+            size = np.linalg.norm(bent, axis=1, keepdims=True)
+            out = np.where(size > 1e-12, bent / np.maximum(size, 1e-12), out)
+        return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+#: Queries that go through the trees, and through the scoring, together.
+ABREAST, SCORED = 64, 256
+
+
+class Cell:
+    """Some rows' different vectors, their ids, and a forest over them."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, settings: Settings):
+        whole = np.ascontiguousarray(vectors)
+        _, first, back = np.unique(whole.view(np.dtype((np.void, whole.dtype.itemsize * whole.shape[1]))).ravel(), return_index=True, return_inverse=True)
+        self.vectors, self.settings = whole[first], settings
+        order = np.lexsort((ids, back))
+        self.ids, self.bounds = ids[order], np.append(0, np.cumsum(np.bincount(back)))
+        # geometry and rough scores are scaled to components of one at most: none can overflow
+        self.scale = float(np.abs(self.vectors).max())
+        scaled = self.vectors / self.scale
+        squares = (scaled * scaled).sum(axis=1)
+        self.norm = float(np.sqrt(squares.max()))
+        self.rough = scaled.astype(np.float32)
+        self.planes_met = self.vectors_met = self.queries = 0
+        self.trees: list[Tree] = []
+        if len(self.vectors) > settings.whole:
+            points = np.hstack([scaled, np.sqrt(np.maximum(0, squares.max() - squares))[:, None]]).astype(np.float32)
+            rng = np.random.default_rng(settings.seed)
+            self.trees = [Tree(points, settings.leaf, rng) for _ in range(settings.trees)]
+            self.depth = self.trees[0].depth
+            self.planes = [np.concatenate([t.planes[level] for t in self.trees]) for level in range(self.depth)]
+            self.cuts = [np.concatenate([t.cuts[level] for t in self.trees]) for level in range(self.depth)]
+            self.order = np.stack([t.order for t in self.trees])
+            self.edges = self.trees[0].edges(self.depth)
+
+    def leaves(self, points: np.ndarray) -> np.ndarray:
+        """For each query point the leaves that the shared queue gives, numbered through all trees."""
+        places = self.settings.leaves(len(self.vectors), self.depth)
+        node = np.broadcast_to(np.arange(len(self.trees)), (len(points), len(self.trees)))
+        reach = np.zeros(node.shape, np.float32)
+        for level in range(self.depth):
+            self.planes_met += node.size
+            if node.shape[1] == len(self.planes[level]):  # all nodes of the level, in order
+                gap = points @ self.planes[level].T - self.cuts[level]
             else:
-                self.kids[place[0]][place[1]] = node
-        self.planes = np.array(self.planes).reshape(-1, points.shape[1])
-        self.cuts = np.array(self.cuts)
-
-    @staticmethod
-    def _split(points: np.ndarray, rows: np.ndarray, leaf: int, rng: np.random.Generator):
-        if len(rows) <= leaf:
-            return None
-        for _ in range(4):
-            a, b = points[rng.choice(rows, 2, replace=False)]
-            plane = a - b
-            if (size := np.linalg.norm(plane)) < 1e-9:
-                plane = rng.normal(size=points.shape[1])
-                size = np.linalg.norm(plane)
-            plane /= size
-            along = points[rows] @ plane
-            cut = np.median(along)
-            high = along > cut
-            if high.any() and not high.all():
-                return plane, cut, rows[~high], rows[high]
-        return None
-
-    def place(self, points: np.ndarray) -> np.ndarray:
-        """The leaf of every point."""
-        at = np.full(len(points), self.root)
-        if len(self.kids):
-            side, kids = points @ self.planes.T > self.cuts, np.array(self.kids)
-            while (inner := np.flatnonzero(at >= 0)).size:
-                at[inner] = kids[at[inner], side[inner, at[inner]].astype(int)]
-        return -1 - at
-
-
-class Forest:
-    """Trees over a sample of vectors, and the search that all of them share."""
-
-    def __init__(self, sample: np.ndarray, norm: float, settings: Settings):
-        rng = np.random.default_rng(settings.seed)
-        self.norm, self.settings = norm, settings
-        points = self.lifted(sample)
-        self.trees = [Tree(points, settings.leaf, rng) for _ in range(settings.trees)]
-        self.members = []  # rows of the sample in each leaf of each tree
-        for tree in self.trees:
-            at = tree.place(points)
-            order = np.argsort(at, kind="stable").astype(np.int32)
-            self.members.append(np.split(order, np.cumsum(np.bincount(at, minlength=tree.leaves))[:-1]))
-        self.size = len(points)
-
-    def lifted(self, vectors: np.ndarray) -> np.ndarray:
-        rest = np.sqrt(np.maximum(0, self.norm**2 - (vectors * vectors).sum(axis=1)))
-        return np.hstack([vectors, rest[:, None]])
-
-    def search(self, query: np.ndarray) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order in which the shared queue gives them."""
-        point = np.append(query, 0.0)
-        far = [t.planes @ point - t.cuts if len(t.kids) else () for t in self.trees]
-        queue = [(-np.inf, k, t.root) for k, t in enumerate(self.trees)]
-        heapq.heapify(queue)
-        want = max(self.settings.share * self.size, min(self.size, LEAST_COVERED))
-        seen, covered, out = np.zeros(self.size, bool), 0, []
-        while queue and covered < want:
-            worst, k, node = heapq.heappop(queue)
-            if node < 0:
-                out.append((k, -1 - node))
-                seen[self.members[k][-1 - node]] = True
-                covered = int(np.count_nonzero(seen))
-                continue
-            low, high = self.trees[k].kids[node]
-            d = float(far[k][node])
-            heapq.heappush(queue, (max(worst, d), k, low))
-            heapq.heappush(queue, (max(worst, -d), k, high))
-        return out
+                gap = np.matmul(self.planes[level][node], points[:, :, None])[:, :, 0] - self.cuts[level][node]
+            low, high = np.maximum(reach, gap), np.maximum(reach, -gap)
+            reach = np.stack([low, high], axis=2).reshape(len(points), -1)
+            node = np.stack([2 * node, 2 * node + 1], axis=2).reshape(len(points), -1)
+            if node.shape[1] > places:
+                near = np.argpartition(reach, places - 1, axis=1)[:, :places]
+                reach, node = np.take_along_axis(reach, near, 1), np.take_along_axis(node, near, 1)
+        return node
+
+    def candidates(self, queries: np.ndarray) -> np.ndarray:
+        """Matrix of which vectors each query meets in its leaves."""
+        met = np.zeros((len(queries), len(self.vectors)), bool)
+        if not self.trees:
+            met[:] = True
+            return met
+        points = np.hstack([queries / self.scale, np.zeros((len(queries), 1))]).astype(np.float32)
+        width = int(np.diff(self.edges).max())
+        for a in range(0, len(points), ABREAST):
+            leaf = self.leaves(points[a : a + ABREAST])
+            tree, at = leaf >> self.depth, leaf & (1 << self.depth) - 1
+            inside = np.minimum(self.edges[at][:, :, None] + np.arange(width), self.edges[at + 1][:, :, None] - 1)
+            rows = self.order[tree[:, :, None], inside]
+            met[np.arange(a, a + len(leaf))[:, None], rows.reshape(len(leaf), -1)] = True
+        return met
+
+    def nearest(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query (ids, scores) of the k best rows met whose id isn't its own, best first, ties to the smaller id."""
+        for a in range(0, len(queries), SCORED):
+            some = queries[a : a + SCORED]
+            met = self.candidates(some)
+            for query, mine, who in zip(some, met, own[a : a + SCORED].tolist()):
+                at = np.flatnonzero(mine)
+                scaled = query / self.scale
+                rough = self.rough[at] @ scaled.astype(np.float32)
+                slack = 3e-7 * len(query) * self.norm * float(np.linalg.norm(scaled)) + 1e-30
+                if len(at) > k + 1:  # one of k + 1 vectors may be the query's own only
+                    at = at[rough >= np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1] - 2 * slack]
+                self.queries += 1
+                self.vectors_met += len(rough)
+                yield self._rows(at, exact_scores(query, self.vectors[at]), who, k)
+
+    def _rows(self, at: np.ndarray, score: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(at) > k + 1:  # one of k + 1 vectors may be the query's own only
+            least = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+            at, score = at[score >= least], score[score >= least]
+        sizes = np.minimum(self.bounds[at + 1] - self.bounds[at], 4 * k + 4)
+        places = np.concatenate([np.arange(a, a + n) for a, n in zip(self.bounds[at], sizes)])
+        ids, score = self.ids[places], np.repeat(score, sizes)
+        ids, score = ids[ids != own], score[ids != own]
+        order = np.lexsort((ids, -score))
+        ids, score = ids[order], score[order]
+        _, first = np.unique(ids, return_index=True)
+        first = np.sort(first)[:k]
+        return ids[first], score[first]
 
 
 def exact_scores(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -139,16 +199,6 @@ def exact_scores(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return total
 
 
-def best(query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rough: np.ndarray, slack: float, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (ids, scores), ties to the smaller id, of the rows other than the query's own. ``rough``: scores within ``slack``."""
-    rough = np.where(ids == own, -np.inf, rough)
-    least = np.partition(rough, len(rough) - k)[len(rough) - k] if len(rough) > k else -np.inf
-    some = np.flatnonzero((rough >= least - 2 * slack) & (rough > -np.inf))
-    score = exact_scores(query, vectors[some])
-    order = np.lexsort((ids[some], -score))[:k]
-    return ids[some][order], score[order]
-
-
 def usable(vectors: Column) -> Column:
     """Whether a vector takes part: no null, all components finite, not zero."""
     fine = F.forall(vectors, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -160,118 +210,60 @@ def nearest(vectors: DataFrame, queries_every: int = 20, k: int = 20, settings:
 
     Returns query_id, rank (from 1), vec_id, score: the inner product in double
     precision, nearest first, ties to the smaller vec_id. Rows with a null id or
-    with a vector that is null, zero or not finite take no part, nor do vectors
-    of another length than most of the sample. Repeated ids count once, with their
-    best score. An empty table gives no rows; other columns are ignored.
-
-    The sample (``settings.sample`` rows by hash of their id) goes to the driver;
-    trees and leaf counts, both bounded by it, go to the tasks. Leaves are dealt
-    in blocks of ``settings.block`` rows by hash of the id, so a leaf that holds
-    much of the table is scored by many tasks.
+    with a vector that is null, zero or not finite take no part. Vectors of
+    different lengths have no inner product and aren't candidates of each other.
+    Repeated ids count once, with their best score. An empty table gives no
+    rows; other columns are ignored.
+
+    Rows go to cells of ``settings.cell_bytes`` by hash of their id, so that no
+    vector, however frequent, overfills one; queries go to every cell. Nothing
+    but two counts comes to the driver. Where cells are few, a cell's queries are
+    dealt to several tasks, each of which builds its forest.
     """
     own = settings or Settings()
-    spark = vectors.sparkSession
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     base = base.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    sampled = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(own.sample).toPandas()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not len(sampled):
-        return spark.createDataFrame([], schema)
-    lengths = sampled["v"].map(len)
-    size = int(lengths.mode()[0])
-    base = base.where(F.size("v") == size)
-    norm = base.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0] ** 0.5
-    forest = Forest(np.array(sampled["v"][lengths == size].tolist()), norm, own)
-    shared = spark.sparkContext.broadcast(forest)
-
-    def leaves(flat: np.ndarray) -> list[np.ndarray]:
-        points = shared.value.lifted(flat)
-        return [t.place(points) for t in shared.value.trees]
-
-    def matrix(column: pa.Array) -> np.ndarray:
-        return np.asarray(column.flatten()).reshape(-1, size).astype(np.float64)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [np.zeros(t.leaves, np.int64) for t in shared.value.trees]
-        for b in batches:
-            if b.num_rows:
-                for total, at in zip(totals, leaves(matrix(b.column(1)))):
-                    total += np.bincount(at, minlength=len(total))
-        rows = [(k, n, int(c)) for k, total in enumerate(totals) for n, c in enumerate(total) if c]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64()))], names=["tree", "leaf", "n"])
-
-    counted = base.mapInArrow(count, "tree int, leaf int, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect()
-    blocks = [np.ones(t.leaves, np.int64) for t in forest.trees]
-    for r in counted:
-        blocks[r["tree"]][r["leaf"]] = -(-r["n"] // own.block)
-    dealt = spark.sparkContext.broadcast(blocks)
-    dealt_schema = "tree int, leaf int, block int, asks boolean, vec_id long, v binary"
-    kinds = [("tree", pa.int32()), ("leaf", pa.int32()), ("block", pa.int32()), ("asks", pa.bool_()), ("vec_id", pa.int64()), ("v", pa.binary())]
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows)) or [()] * 6
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds)], names=[n for n, _ in kinds])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, flat = b.column(0).to_numpy(), matrix(b.column(1))
-            raw = [x.tobytes() for x in flat]
-            spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            rows = []
-            for k, at in enumerate(leaves(flat)):
-                block = spread % dealt.value[k][at]
-                rows += zip([k] * len(ids), at.tolist(), block.tolist(), [False] * len(ids), ids.tolist(), raw)
-            yield out(rows)
-            rows = []
-            for i in np.flatnonzero(ids % queries_every == 0):
-                for k, leaf in shared.value.search(flat[i]):
-                    rows += [(k, leaf, block, True, int(ids[i]), raw[i]) for block in range(dealt.value[k][leaf])]
-                if len(rows) > 20_000:
-                    yield out(rows)
-                    rows = []
-            yield out(rows)
+    asks = F.pmod("vec_id", F.lit(queries_every)) == 0
+    held, asked = (int(x or 0) for x in base.agg(F.sum(F.size("v").cast("long") * 8), F.sum(F.when(asks, 1).otherwise(0))).first())
+    cells = max(1, -(-held // own.cell_bytes))
+    parts = max(1, min(-(-asked // own.part), own.tasks // cells))
+    hashed = F.xxhash64("vec_id")
+    rows = base.select(F.pmod(hashed, F.lit(cells)).cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("role"), "vec_id", "v")
+    queries = base.where(asks).select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.pmod(F.shiftright(hashed, 20), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("role"), "vec_id", "v")
+    keys = ["cell", "part", "size"]
+    dealt = rows.union(queries).withColumn("size", F.size("v")).select(*keys, "role", "vec_id", "v")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted: of each block its vectors, then the queries that ask it."""
-        at, ids, held, table = None, [], [], None
-
+        """Rows come sorted: of each cell and length its vectors, then the queries."""
+        at, ids, flat, cell = None, [], [], None
         for b in batches:
-            key = list(zip(*(b.column(i).to_numpy(zero_copy_only=False).tolist() for i in range(4))))
-            vec, raw = b.column(4).to_numpy(), b.column(5)
-            edges = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
-            found: list[tuple] = []
+            heads = list(zip(*(b.column(i).to_pylist() for i in range(4))))
+            numbers = b.column(4).to_numpy()
+            edges = [0, *(i for i in range(1, len(heads)) if heads[i] != heads[i - 1]), len(heads)]
+            out: list[tuple] = []
             for a, z in zip(edges, edges[1:]):
                 if a == z:
                     continue
-                flat = np.frombuffer(b"".join(raw.slice(a, z - a).to_pylist()), np.float64).reshape(-1, size)
-                if key[a][:3] != at:
-                    at, ids, held, table = key[a][:3], [], [], None
-                if not key[a][3]:
-                    ids.append(vec[a:z])
-                    held.append(flat)
+                *key, role = heads[a]
+                some = np.asarray(b.column(5).slice(a, z - a).flatten()).reshape(z - a, key[2])
+                if key != at:
+                    at, ids, flat, cell = key, [], [], None
+                if role == 0:
+                    ids.append(numbers[a:z])
+                    flat.append(some)
                     continue
-                if table is None:
-                    if not held:
+                if cell is None:
+                    if not ids:
                         continue
-                    ids, held = [np.concatenate(ids)], [np.concatenate(held)]
-                    table = held[0].astype(np.float32).T.copy()
-                for i in range(0, z - a, 256):
-                    some = flat[i : i + 256]
-                    rough = some.astype(np.float32) @ table
-                    for j, q in enumerate(some):
-                        slack = 1.3e-7 * size * norm * float(np.linalg.norm(q)) + 1e-30
-                        near, s = best(q, ids[0], held[0], rough[j].astype(np.float64), slack, k, int(vec[a + i + j]))
-                        found.append((np.full(len(near), vec[a + i + j]), near, s))
-            columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+                    cell = Cell(np.concatenate(ids), np.concatenate(flat), own)
+                for number, (near, scores) in zip(numbers[a:z].tolist(), cell.nearest(some, numbers[a:z], k)):
+                    out.append((np.full(len(near), number), near, scores))
+            columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
-    keys = ["tree", "leaf", "block"]
-    routed = base.mapInArrow(route, dealt_schema)
-    sorted_rows = routed.repartition(*keys).sortWithinPartitions(*keys, "asks")
+    n_tasks = max(cells * parts, 1)
+    sorted_rows = dealt.repartition(n_tasks, "cell", "part").sortWithinPartitions(*keys, "role")
     scored = sorted_rows.mapInArrow(score, "query_id long, vec_id long, score double")
-    # a candidate met in several trees has the same score each time
     each = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
