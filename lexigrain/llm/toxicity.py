@@ -26,8 +26,8 @@ BITS = 20
 PREFIXES = (4, 5, 6)
 #: P(grade > 0) from which a document is called toxic.
 LIMIT = 0.2
-#: Words of a graded document that speak for toxicity, at least, for each grade of a toxic one after the first.
-GRADE_STEPS = (9, 21)
+#: Share of a toxic document's features that speak for toxicity, at least, for each grade after the first.
+GRADE_STEPS = (0.04, 0.12)
 
 
 @dataclass(frozen=True)
@@ -91,6 +91,11 @@ def score_texts(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
     return out
 
 
+def blank(texts: list[bytes]) -> np.ndarray:
+    """Which texts have no word at all."""
+    return np.array([not t.translate(PLAIN).strip() for t in texts], bool)
+
+
 def fit(rows: np.ndarray, slots: np.ndarray, values: np.ndarray, grades: np.ndarray, settings: Settings | None = None) -> Model:
     """Penalised maximum likelihood. Entry i says: document rows[i] has slots[i] values[i] times.
 
@@ -132,20 +137,20 @@ def fit(rows: np.ndarray, slots: np.ndarray, values: np.ndarray, grades: np.ndar
     return Model(weights, x[m] + np.concatenate([[0], np.cumsum(np.exp(x[m + 1 :]))]))
 
 
-def severity_grades(rows: np.ndarray, slots: np.ndarray, values: np.ndarray, toxic: np.ndarray, least_docs: int) -> np.ndarray:
+def severity_grades(rows: np.ndarray, slots: np.ndarray, values: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, least_docs: int) -> np.ndarray:
     """Grades for documents labelled as toxic or not: 0 for the others, else 1 and one more for each of GRADE_STEPS reached.
 
-    What is counted are occurrences of words (and beginnings of words: each
-    occurrence counts up to 1 + len(PREFIXES) times) that the labels themselves
-    show to be toxic: in ``least_docs`` toxic documents at least, and in a share
-    of them 20 times that of the others.
+    What is measured is a rate, not a length: the occurrences of features that
+    the labels themselves show to be toxic (in ``least_docs`` toxic documents at
+    least, and in a share of them 20 times that of the others) among the
+    ``sizes`` features of the document in all.
     """
     is_toxic = toxic[rows] > 0
     yes, no = np.bincount(slots[is_toxic], minlength=1 << BITS), np.bincount(slots[~is_toxic], minlength=1 << BITS)
     n_yes, n_no = max(1, int((toxic > 0).sum())), max(1, int((toxic == 0).sum()))
     telling = (yes >= least_docs) & (yes / n_yes >= 20 * (no + 0.5) / n_no)
-    times = np.bincount(rows, np.where(telling[slots], values, 0), len(toxic))
-    return np.where(toxic > 0, 1 + sum((times >= k - 0.5).astype(int) for k in GRADE_STEPS), 0)
+    rate = np.bincount(rows, np.where(telling[slots], values, 0), len(toxic)) / np.maximum(sizes, 1)
+    return np.where(toxic > 0, 1 + sum((rate >= k).astype(int) for k in GRADE_STEPS), 0)
 
 
 def telling_slots(with_high: np.ndarray, with_zero: np.ndarray, n_high: int, n_zero: int, settings: Settings) -> np.ndarray:
@@ -157,7 +162,7 @@ def telling_slots(with_high: np.ndarray, with_zero: np.ndarray, n_high: int, n_z
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[np.ndarray, ...]:
-    """(rows, slots, values, toxic) of at most ``settings.sample`` labelled documents, chosen by hash of their id.
+    """(rows, slots, values, sizes, toxic) of at most ``settings.sample`` labelled documents, chosen by hash of their id.
 
     A first pass counts, for each feature, the documents of either side that
     have it; a second brings the features that count to the driver.
@@ -184,7 +189,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, settings: Settings) ->
     table = counts.where((F.col("high") + F.col("zero") >= settings.least_docs) | (F.col("slot") == 1 << BITS)).toArrow()
     empty = np.zeros(0, np.int64)
     if not table.num_rows:
-        return empty, empty, empty, empty
+        return empty, empty, empty, empty, empty
     slot, high, zero = (np.asarray(table.column(c)) for c in ("slot", "high", "zero"))
     total = slot == 1 << BITS
     n_high, n_zero = (int(x[total].sum()) for x in (high, zero))
@@ -193,30 +198,32 @@ def labelled_features(docs: DataFrame, labels: DataFrame, settings: Settings) ->
     shared = docs.sparkSession.sparkContext.broadcast(kept)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(t, s[k].astype(np.int32).tobytes(), v[k].tobytes()) for t, s, v in found(batches) for k in [shared.value[s]]]
-        columns = list(zip(*rows)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], names=["toxic", "slots", "values"])
+        rows = [(t, float(v.sum()), s[k].astype(np.int32).tobytes(), v[k].tobytes()) for t, s, v in found(batches) for k in [shared.value[s]]]
+        columns = list(zip(*rows)) or [()] * 4
+        kinds = (pa.int32(), pa.float64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["toxic", "size", "slots", "values"])
 
-    got = joined.mapInArrow(gather, "toxic int, slots binary, values binary").toArrow()
+    got = joined.mapInArrow(gather, "toxic int, size double, slots binary, values binary").toArrow()
     each = [np.frombuffer(x, np.int32) for x in got.column("slots").to_pylist()]
     values = [np.frombuffer(x, np.float32) for x in got.column("values").to_pylist()]
     rows = np.repeat(np.arange(len(each)), list(map(len, each)))
-    return rows, np.concatenate([empty.astype(np.int32), *each]), np.concatenate([np.zeros(0, np.float32), *values]), np.asarray(got.column("toxic").to_pylist(), np.int64)
+    return rows, np.concatenate([empty.astype(np.int32), *each]), np.concatenate([np.zeros(0, np.float32), *values]), np.asarray(got.column("size").to_pylist(), np.float64), np.asarray(got.column("toxic").to_pylist(), np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
     """Fits on labelled documents; where labels show one class only, nothing is called toxic."""
     own = settings or Settings()
-    rows, slots, values, toxic = labelled_features(docs, labels, own)
+    rows, slots, values, sizes, toxic = labelled_features(docs, labels, own)
     if len(set(toxic.tolist())) < 2:
         return Model(np.zeros(1 << BITS, np.float32), np.array([60.0]))
-    return fit(rows, slots, values, severity_grades(rows, slots, values, toxic, own.least_docs), own)
+    return fit(rows, slots, values, severity_grades(rows, slots, values, sizes, toxic, own.least_docs), own)
 
 
 def grade_documents(docs: DataFrame, model: Model) -> DataFrame:
     """One row per input row: doc_id, severity (expected grade), grade (most likely), p_toxic (P(grade > 0)), toxic (p_toxic >= LIMIT).
 
-    A null text is empty: it has the score 0. A null doc_id stays null; repeated
+    A null text is empty. A text without words says nothing, whatever the labels'
+    shares: severity, grade and p_toxic are 0. A null doc_id stays null; repeated
     rows give repeated results; an empty table gives none; other columns are
     ignored; texts are read whole. The weights (4 MB) are broadcast. No shuffle.
     """
@@ -225,7 +232,8 @@ def grade_documents(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in (s for x in batches for s in slices(x)):
-            over = own.exceeding(score_texts(b.column(1).cast(pa.binary()).to_pylist(), own.weights))
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            over = own.exceeding(score_texts(texts, own.weights)) * ~blank(texts)[:, None]
             p = np.hstack([np.ones((len(over), 1)), over]) - np.hstack([over, np.zeros((len(over), 1))])
             columns = [b.column(0), pa.array(over.sum(axis=1)), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(over[:, 0]), pa.array(over[:, 0] >= LIMIT)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "severity", "grade", "p_toxic", "toxic"])
@@ -235,7 +243,7 @@ def grade_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that aren't called toxic. A null text stays."""
+    """The rows of ``docs``, all columns as they are, that aren't called toxic. A null text and one without words stay."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
@@ -244,6 +252,6 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         own = shared.value
         for b in (s for x in batches for s in slices(x, at)):
             texts = [t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()]
-            yield b.filter(pa.array(own.exceeding(score_texts(texts, own.weights))[:, 0] < LIMIT))
+            yield b.filter(pa.array((own.exceeding(score_texts(texts, own.weights))[:, 0] < LIMIT) | blank(texts)))
 
     return docs.mapInArrow(run, docs.schema)
