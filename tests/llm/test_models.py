@@ -75,7 +75,7 @@ def brute_groups(rows, width, least):
     return sets, smallest_reachable(ids, links)
 
 
-@pytest.mark.parametrize("settings", [minhash_dedup.DOCUMENTS, minhash_dedup.STAGE, minhash_dedup.Settings(block=4)])
+@pytest.mark.parametrize("settings", [minhash_dedup.DOCUMENTS, minhash_dedup.FIVE_WORDS, minhash_dedup.Settings(block=4)])
 def test_groups_of_copies(spark, settings):
     rows = near_copies()
     sets, want = brute_groups(rows, settings.width, settings.least)
@@ -92,7 +92,7 @@ def test_groups_of_the_table(documents):
 
 def test_one_of_each_group_stays(spark):
     rows = near_copies(5)
-    _, want = brute_groups(rows, 5, 80)
+    _, want = brute_groups(rows, 3, 85)
     kept = minhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"] for r in kept} == set(want.values())
 
@@ -199,7 +199,7 @@ def test_search_finds_nine_tenths(spark):
     vectors = vectors.astype(np.float32)
     table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>")
     rows = defaultdict(list)
-    for r in rp_forest.nearest(table, settings=rp_forest.Settings(sample=3000, leaf=100, block=700)).collect():
+    for r in rp_forest.nearest(table, settings=rp_forest.Settings(cell_bytes=2000 * 24 * 8, part=150)).collect():
         rows[r["query_id"]].append(r)
     exact = vectors.astype(np.float64)
     hits = total = 0
@@ -220,9 +220,52 @@ def test_search_of_odd_rows(spark):
     table = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
     got = rp_forest.nearest(table).orderBy("rank").collect()
     assert [tuple(r) for r in got] == [(0, 1, 4, 1.0), (0, 2, 5, 1.0)]
+    lengths = [(0, [1.0]), (1, [2.0]), (20, [1.0, 2.0, 3.0]), (21, [0.0, 1.0, 0.0]), (40, [1e200]), (60, [1.0, 1.0])]
+    table = spark.createDataFrame(lengths, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in rp_forest.nearest(table).collect()) == [(0, 1, 40, 1e200), (0, 2, 1, 2.0), (20, 1, 21, 2.0), (40, 1, 1, 2e200), (40, 2, 0, 1e200)]
     assert rp_forest.nearest(table.limit(0)).count() == 0
 
 
+def searched(vectors, every=20):
+    """Recall of a cell's search by its queries, and inner products (with vectors, with planes) for each query."""
+    cell = rp_forest.Cell(np.arange(len(vectors)), vectors, rp_forest.Settings())
+    asked, hits = np.arange(0, len(vectors), every), 0
+    for q, (ids, scores) in zip(asked, cell.nearest(vectors[asked], asked, 20)):
+        own = vectors @ vectors[q]
+        own[q] = -np.inf
+        hits += (scores >= np.partition(own, len(own) - 20)[len(own) - 20] - 1e-9).sum()
+        assert len(ids) == 20 and len(set(ids.tolist())) == 20
+    return hits / (20 * len(asked)), cell.vectors_met / cell.queries, cell.planes_met / cell.queries
+
+
+def test_search_of_the_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    vectors = np.array([r["embedding"] for r in table if r["embedding"] is not None], np.float64)
+    recall, met, planes = searched(vectors)
+    assert recall >= 0.9 and met <= 0.55 * len(vectors) and planes <= 0.2 * len(vectors)
+
+
+def test_search_grows_slower_than_its_rows():
+    rng = np.random.default_rng(8)
+    work = {}
+    for n, every in ((2_000, 20), (10_000, 50), (40_000, 400)):
+        vectors = rng.normal(size=(n, 64))
+        vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+        recall, met, planes = searched(vectors, every)
+        assert recall >= 0.9
+        work[n] = (met + planes) / n
+    assert work[40_000] < 0.45 and work[40_000] < 0.75 * work[2_000]
+
+
+def test_very_large_and_equal_vectors(spark):
+    rows = [(k, [3e38, 0.0] if k % 2 else [0.0, 1.0]) for k in range(6)] + [(k, [1.0, 1.0]) for k in range(6, 700)]
+    got = defaultdict(list)
+    for r in rp_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert got[0] == [2, 4, *range(6, 24)] and len(got) == 35
+    assert got[20][:3] == [1, 3, 5] and got[20][3:] == [*range(6, 20), 21, 22, 23]
+
+
 # ---------------------------------------------------------------- toxicity
 
 
