@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder, lineage cut; a folder of our own only where none is set."""
+    """Written to the shared checkpoint folder, lineage cut; a folder of our own only where none is set and all runs in one process."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexigrain-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexigrain-"))
     return df.checkpoint(eager=True)
 
 
