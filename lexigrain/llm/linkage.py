@@ -9,6 +9,8 @@ from .common import ROWS_A_TASK, cut
 
 #: Ids that may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 200_000
+#: Pieces that a hot key is dealt in where its table is too large to broadcast.
+SALTS = 32
 
 
 def semi(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
@@ -21,6 +23,20 @@ def semi(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") ->
     return df.join(F.broadcast(ids) if small else ids, column, how)
 
 
+def attach(df: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """``df`` joined with a ``table`` that has one row for each ``column``, rows of ``df`` left where they are if ``table`` is small.
+
+    For tables of hot keys, which are few: no task takes all rows of a key.
+    ``table`` should be cut off from its lineage; it is counted, and where it has
+    more than BROADCAST_IDS rows both sides are dealt by salted keys.
+    """
+    if table.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        return df.join(F.broadcast(table), column)
+    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = df.withColumn("__salt", F.pmod(F.xxhash64(*(F.col(c) for c in df.columns)), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, [column, "__salt"]).drop("__salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): for every id in a link (a, b) the smallest id reachable from it.
 

@@ -26,10 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, cut_small, slices, text_column
-from .linkage import components, semi
+from .linkage import attach, components, semi
 from .words import mix, seeds, shingle_sets
 
 
+#: Entries of a table key from which on they aren't brought together to be joined.
+HOT = 2_000
+
+
 @dataclass(frozen=True)
 class Settings:
     """Texts are linked if ``of`` * intersection >= ``least`` * union of their ``width``-word shingles.
@@ -114,8 +118,10 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
 def _verify(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough; a's set goes once to every 1,024 of its pairs."""
     least, of = settings.least, settings.of
-    counted = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", (F.col("n") / 1024).cast("int").alias("top"))
-    members = pairs.join(counted, "a").join(sets, pairs.b == sets.id).select("a", F.pmod(F.xxhash64("b"), F.col("top") + 1).cast("int").alias("part"), F.lit(1).alias("role"), "id", "set")
+    counted = cut_small(pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", (F.col("n") / 1024).cast("int").alias("top")))
+    many = cut_small(counted.where("top > 0"))
+    dealt = attach(pairs, many, "a").select("a", "b", "top").union(semi(pairs, many.select("a"), "a", "left_anti").select("a", "b", F.lit(0)))
+    members = dealt.join(sets, dealt.b == sets.id).select("a", F.pmod(F.xxhash64("b"), F.col("top") + 1).cast("int").alias("part"), F.lit(1).alias("role"), "id", "set")
     hubs = counted.withColumn("part", F.explode(F.sequence(F.lit(0), "top"))).join(sets, counted.a == sets.id).select("a", "part", F.lit(0).alias("role"), "id", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,11 +171,10 @@ def _apart(pairs: DataFrame, labels: DataFrame, sets: DataFrame, settings: Setti
     family = pairs.select("a", "b").union(pairs.select("a", F.col("a").alias("b")).distinct())
     known = labels.select(F.col("id").alias("b"), "component")
     tagged = family.join(known, "b", "left").select("a", "b", F.coalesce("component", "b").alias("c"))
-    hubs = tagged.where("a = b").select("a", F.col("c").alias("hub_c"))
-    sizes = tagged.groupBy("a", "c").agg(F.count("*").alias("m"))  # few rows each, even for a hub with many members
-    counts = sizes.join(hubs, "a").groupBy("a", "hub_c").agg(F.sum("m").alias("n"), F.sum(F.when(F.col("c") != F.col("hub_c"), F.col("m")).otherwise(0)).alias("odd"))
+    sizes = tagged.groupBy("a", "c").agg(F.count("*").alias("m"), F.max(F.col("a") == F.col("b")).alias("own"))
+    counts = sizes.groupBy("a").agg(F.sum("m").alias("n"), F.max(F.when(F.col("own"), F.col("c"))).alias("hub_c"), F.sum(F.when(~F.col("own"), F.col("m")).otherwise(0)).alias("odd"))
     open_ = counts.where("odd > 0 and n > 2").select("a", "hub_c", (F.col("n") / block).cast("int").alias("top_m"), (F.col("odd") / block).cast("int").alias("top_u"))
-    rows = cut_small(tagged.join(open_, "a"))
+    rows = cut_small(attach(tagged, cut_small(open_), "a"))
     asks = rows.where("c <> hub_c").select("a", F.pmod(F.xxhash64("b"), F.col("top_u") + 1).cast("int").alias("u"), F.explode(F.sequence(F.lit(0), "top_m")).alias("m"), F.lit(0).alias("role"), "b", "c")
     told = rows.select("a", F.explode(F.sequence(F.lit(0), "top_u")).alias("u"), F.pmod(F.xxhash64("b"), F.col("top_m") + 1).cast("int").alias("m"), F.lit(1).alias("role"), "b", "c")
     dealt = asks.union(told).join(sets, F.col("b") == F.col("id")).select("a", "u", "m", "role", "b", "c", "set")
@@ -212,11 +217,20 @@ def group_documents(docs: DataFrame, settings: Settings = DOCUMENTS) -> DataFram
     classes = cut(named.where("n_shingles > 0").groupBy("low", "high").agg(F.min("doc_id").alias("rep"), F.first("collections").alias("collections")))
     tables = [F.xxhash64(F.lit(t), F.col("collections")[i], F.col("collections")[j]) for t, (i, j) in enumerate(combinations(range(settings.collections), 2))]
     keyed = classes.select("rep", F.explode(F.array(*tables)).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    entries = cut_small(keyed.join(shared, "key"))
+    shared = cut_small(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = cut_small(shared.where(F.col("n") >= HOT))
+    if hot.limit(1).count():  # a hot key's entries stay where they are
+        rest = semi(keyed, hot.select("key"), "key", "left_anti").join(shared.where(F.col("n") < HOT), "key")
+        entries = cut_small(attach(keyed, hot, "key").select("key", "rep", "n").union(rest.select("key", "rep", "n")))
+    else:
+        entries = cut_small(keyed.join(shared, "key").select("key", "rep", "n"))
     central = entries.groupBy("rep").agg(F.sum("n").alias("agreed"))
-    hubs = entries.join(central, "rep").groupBy("key").agg(F.max(F.struct("agreed", (-F.col("rep")).alias("minus"))).alias("best")).select("key", (-F.col("best.minus")).alias("a"))
-    pairs = cut_small(entries.join(hubs, "key").where("a <> rep").select("a", F.col("rep").alias("b")).distinct())
+    hubs = entries.join(central, "rep").groupBy("key").agg(F.max(F.struct("agreed", (-F.col("rep")).alias("minus"))).alias("best"), F.max("n").alias("n"))
+    hubs = cut_small(hubs.select("key", (-F.col("best.minus")).alias("a"), "n"))
+    met = entries.where(F.col("n") < HOT).join(hubs.where(F.col("n") < HOT).select("key", "a"), "key").select("a", "rep")
+    if hot.limit(1).count():
+        met = met.union(attach(entries.where(F.col("n") >= HOT), cut_small(hubs.where(F.col("n") >= HOT).select("key", "a")), "key").select("a", "rep"))
+    pairs = cut_small(met.where("a <> rep").select("a", F.col("rep").alias("b")).distinct())
     wanted = cut_small(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_column(docs).alias("text"))
     sets = cut(_sets(semi(texts, wanted, "id"), settings).dropDuplicates(["id"]))

@@ -85,6 +85,16 @@ def test_groups_of_copies(spark, settings):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def test_groups_with_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "HOT", 5)
+    rows = near_copies(9)
+    _, want = brute_groups(rows, 3, 85)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.group_documents(docs).collect()} == want
+    monkeypatch.setattr(linkage, "BROADCAST_IDS", 0)
+    assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.group_documents(docs).collect()} == want
+
+
 def test_groups_of_the_table(documents):
     _, want = brute_groups([(r["doc_id"], r["text"]) for r in documents.collect()], 3, 85)
     assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.group_documents(documents).collect()} == want
