@@ -9,6 +9,7 @@ which are made here from a grammar of page layouts.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import math
@@ -46,6 +47,65 @@ TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li td th dd dt blockquote pre figca
 TOP = 12.0  # node scores and messages stay within this many nats
 
 
+CELL_SCOPE = frozenset(("td", "th", "table"))
+
+
+class Open:
+    """The open elements of a page being read. Where a name or a scope stands last is known without a walk."""
+
+    def __init__(self):
+        self.nodes, self.names = [0], ["#page"]
+        self.places: dict[str, list[int]] = {"#page": [0]}
+        self.scopes: list[int] = []  # places of P_SCOPE elements
+        self.cells: list[int] = []  # places of CELL_SCOPE elements
+
+    def push(self, node: int, name: str) -> None:
+        at = len(self.nodes)
+        self.nodes.append(node)
+        self.names.append(name)
+        self.places.setdefault(name, []).append(at)
+        if name in P_SCOPE:
+            self.scopes.append(at)
+        if name in CELL_SCOPE:
+            self.cells.append(at)
+
+    def close(self, at: int) -> bool:
+        """Closes the elements from a place on; whether a block was among them."""
+        block = False
+        while len(self.nodes) > at:
+            self.nodes.pop()
+            name = self.names.pop()
+            self.places[name].pop()
+            if name in P_SCOPE:
+                self.scopes.pop()
+            if name in CELL_SCOPE:
+                self.cells.pop()
+            block = block or name in BLOCK
+        return block
+
+    def last(self, name: str) -> int:
+        """The place of the innermost element of that name; 0 where none is open."""
+        found = self.places.get(name)
+        return found[-1] if found else 0
+
+    def scope(self) -> int:
+        return self.scopes[-1] if self.scopes else 0
+
+    def cell(self) -> int:
+        return self.cells[-1] if self.cells else 0
+
+    def outermost(self, names: set[str], scopes: set[str]) -> int:
+        """The outermost element of one of the names that no scope stands within or around before; 0 where none is open."""
+        bound = max(map(self.last, scopes))
+        found = 0
+        for name in names:
+            own = self.places.get(name, ())
+            k = bisect.bisect_left(own, bound) if own else 0
+            if k < len(own) and own[k] and (not found or own[k] < found):
+                found = own[k]
+        return found
+
+
 class Page:
     """The element tree in document order; node 0 is the page itself."""
 
@@ -59,7 +119,7 @@ class Page:
 
     def _build(self, source: str) -> None:
         tags, parent, attrs, pieces, own = self.tags, self.parent, self.attrs, self.pieces, self.own
-        stack, at, end = [0], 0, len(source)
+        stack, at, end = Open(), 0, len(source)
         lower = None
         for_scan = TOKEN.search
         while at < end:
@@ -69,8 +129,8 @@ class Page:
                 text = source[at:begin]
                 if "&" in text:
                     text = html.unescape(text)
-                pieces.append((stack[-1], text))
-                own[stack[-1]] += len(text.strip())
+                pieces.append((stack.nodes[-1], text))
+                own[stack.nodes[-1]] += len(text.strip())
             if not m:
                 break
             at = m.end()
@@ -80,49 +140,32 @@ class Page:
             tag = tag.lower()
             if source[begin + 1] == "/":
                 if tag == "br":
-                    pieces.append((stack[-1], " "))
+                    pieces.append((stack.nodes[-1], " "))
                 elif tag == "p" or tag not in VOID:
-                    for k in range(len(stack) - 1, 0, -1):
-                        name = tags[stack[k]]
-                        if name == tag:
-                            if any(tags[x] in BLOCK for x in stack[k:]):
-                                pieces.append((-1, ""))
-                            del stack[k:]
-                            break
-                        if name in P_SCOPE and tag not in BLOCK or name in ("td", "th", "table") and tag in ("p", "div", "span", "li"):
-                            break
+                    k = stack.last(tag)
+                    # an inline element isn't closed through a scope, nor text in a cell through the cell
+                    within = stack.scope() if tag not in BLOCK else 0
+                    if tag in ("p", "div", "span", "li"):
+                        within = max(within, stack.cell())
+                    if k and k >= within and stack.close(k):
+                        pieces.append((-1, ""))
                 continue
             rest = m[2] if m[1] else m[4]
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    name = tags[stack[k]]
-                    if name == "p":
-                        del stack[k:]
-                        break
-                    if name in P_SCOPE:
-                        break
-            if tag in SIBLINGS:
-                scope, same, found = SCOPES[tag], SIBLINGS[tag], 0
-                for k in range(len(stack) - 1, 0, -1):
-                    name = tags[stack[k]]
-                    if name in same:
-                        found = k
-                    if name in scope:
-                        break
-                if found:
-                    del stack[found:]
-            if tag == "body" or tag in ("nav", "div", "article", "p", "header", "main"):
-                if len(stack) > 1 and tags[stack[-1]] == "head":
-                    stack.pop()
+            if tag in CLOSES_P and (k := stack.last("p")) > stack.scope():
+                stack.close(k)
+            if tag in SIBLINGS and (k := stack.outermost(SIBLINGS[tag], SCOPES[tag])):
+                stack.close(k)
+            if tag in ("body", "nav", "div", "article", "p", "header", "main") and stack.names[-1] == "head":
+                stack.close(len(stack.nodes) - 1)
             node = len(tags)
             tags.append(tag)
-            parent.append(stack[-1])
+            parent.append(stack.nodes[-1])
             attrs.append(rest)
             own.append(0)
             if tag in BLOCK:
                 pieces.append((-1, ""))
             elif tag == "br":
-                pieces.append((stack[-1], " "))
+                pieces.append((stack.nodes[-1], " "))
             if tag in VOID or rest.endswith("/") and tag not in BLOCK and tag not in RAW and tag not in ("a", "span", "b", "i", "em", "strong"):
                 continue
             if tag in RAW:
@@ -139,7 +182,7 @@ class Page:
                 if tag in BLOCK:
                     pieces.append((-1, ""))
                 continue
-            stack.append(node)
+            stack.push(node, tag)
         size, links = own[:], [n if t == "a" else 0 for n, t in zip(own, tags)]
         for k in range(len(tags) - 1, 0, -1):
             if tags[k] == "a":
@@ -374,7 +417,10 @@ class _Maker:
             for kind_, often in (("menu", 0.7), ("head", 0.45), ("ad", 0.35), ("notice", 0.25), ("form", 0.15)):
                 if rng.random() < often:
                     self.clutter(kind_)
-            if rng.random() < 0.35:
+            where = rng.random()
+            if where < 0.06:  # an old page: its text stands in the body itself
+                self.article()
+            elif where < 0.4:
                 self.element("div", 1, lambda: ([self.clutter() for _ in range(rng.randint(0, 1))], middle(), [self.clutter() for _ in range(rng.randint(0, 2))]), self.name(PLAIN_NAMES, 0.8))
             else:
                 middle()
