@@ -1,20 +1,28 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-With at most t edits between two lines, one of t + 1 even segments of the
-shorter is a substring of the longer near its place. A line's keys are its own
-segments and, for each length at most t shorter, its substrings at the places
-where such a segment can lie; lines that share a key are candidates, and a
-banded bit-parallel edit distance decides.
+How many edits two linked lines may differ by grows with the shorter one's
+length. Lengths are divided into cells; in a cell with t edits a line's first
+t + 1 segments have one length. Of two lines within t edits one segment of the
+shorter stands unchanged in the longer, moved by no more places than segments
+before it, with no more edits behind it than segments after it. So a line's keys
+are its own segments and, for its cell and a shorter neighbour cell, its
+substrings at the places where such a segment can lie; lines that share a key are
+candidates, and a banded bit-parallel edit distance decides.
 
 Keys are found in numpy, a buffer of lines at a time, and travel as packed
 arrays to buckets that give back only keys that different lines share. Equal
-lines are one line. A pair of lines is checked at the smallest key they share;
-keys that many lines share are checked block against block. What comes back is
-each line's number of links and a forest of links, so no row for each pair.
+lines are one line. Where many lines share a key, the rest of each line behind it
+is divided into segments again, as many as edits are left and one more, and lines
+are candidates only if they share one of these too. A pair is checked at the
+smallest key it shares; keys that still have many lines are checked block against
+block. What comes back is each line's number of links and a forest of links, so
+no row for each pair.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, cut_small, slices, text_column
-from .linkage import components, semi
+from .linkage import attach, components, semi
 from .words import CHUNK, MASK, _powers, mix, seeds
 
 _U = np.uint64
@@ -34,18 +42,37 @@ _LETTER = seeds(1 << 16, 9)
 
 @dataclass(frozen=True)
 class Settings:
-    """``edits``: between linked lines at most; ``least_chars``: shorter lines have no links; ``block``: lines of a key checked in one piece; ``exact_chars``: shorter lines take no part, those from here to ``least_chars`` as exact copies only (None: there are none such)."""
+    """``edits``: between linked lines at least; ``per``: a line of ``per * t * t`` characters may have t edits (None: always ``edits``); ``most``: edits at most, 30 at most; ``least_chars``: shorter lines have no links; ``block``: lines of a key checked in one piece, above which a key is refined, ``rounds`` times at most; ``exact_chars``: shorter lines take no part, those from here to ``least_chars`` as exact copies only (None: there are none such)."""
 
     edits: int = 2
     least_chars: int = 20
     block: int = 256
     exact_chars: int | None = None
+    per: int | None = 20
+    most: int = 30
+    rounds: int = 3
 
     @property
     def floor(self) -> int:
         """Code points of the shortest line that takes part."""
         return self.least_chars if self.exact_chars is None else min(self.exact_chars, self.least_chars)
 
+    @functools.cached_property
+    def cells(self) -> tuple[np.ndarray, np.ndarray]:
+        """Least length and edits of each cell; a cell is wider than its edits."""
+        low, edits = [max(1, self.least_chars)], []
+        while low[-1] < 1 << 31:
+            edits.append(max(self.edits, min(self.most, math.isqrt(low[-1] // self.per))) if self.per else self.edits)
+            low.append(low[-1] + max(4 * edits[-1] + 4, low[-1] // 8))
+        return np.array(low[:-1]), np.array(edits)
+
+    def cell_of(self, sizes: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.cells[0], sizes, side="right") - 1
+
+    def edits_of(self, sizes: np.ndarray) -> np.ndarray:
+        """Edits that a line of so many code points may be away from a longer one."""
+        return self.cells[1][self.cell_of(np.maximum(sizes, self.cells[0][0]))]
+
 
 #: What the query and the stage use: every line that isn't empty takes part.
 ALL_LINES = Settings(exact_chars=1)
@@ -88,22 +115,64 @@ class Lines:
             h = mix(self.hashes(self.starts, self.sizes) + self.sizes.astype(np.uint64) * _U(_BASE))
         return (h & _U(MASK - 1)).view(np.int64)
 
-    def keys(self, edits: int) -> list[tuple[np.ndarray, np.ndarray, bool]]:
-        """(lines, keys, own): segments of the lines themselves (own) and substrings that may be a shorter line's segment."""
-        out = []
-        for shorter in range(edits + 1):
-            size = self.sizes - shorter
-            for i in range(edits + 1):
-                start, length = segment(size, i, edits + 1)
-                left, right = i, edits - i
-                for shift in range(max(-left, shorter - right), min(left, shorter + right) + 1):
-                    fine = (start + shift >= 0) & (start + shift + length <= self.sizes) & (length > 0)
-                    at = np.flatnonzero(fine)
-                    raw = self.hashes(self.starts[at] + start[at] + shift, length[at])
-                    with np.errstate(over="ignore"):
-                        key = mix(raw + size[at].astype(np.uint64) * _U(0x8EBC6AF09C88C6E3) + _U(i + 1) * _U(0x589965CC75374CC3))
-                    out.append((at, key.view(np.int64), shorter == 0 and shift == 0))
-        return out
+    def keys(self, settings: Settings) -> Iterator[tuple[np.ndarray, np.ndarray, bool, np.ndarray, np.ndarray, np.ndarray]]:
+        """(lines, keys, own, places behind the segments, edits left, least length left) of segments of the lines themselves (own) and of substrings that may be a shorter line's segment."""
+        low, edits = settings.cells
+        home = settings.cell_of(self.sizes)
+        for back in (0, 1):
+            cell = home - back
+            ready = np.flatnonzero(cell >= 0)
+            if back:  # only lines that a line of the cell below can be near to
+                ready = ready[self.sizes[ready] - edits[cell[ready]] < low[cell[ready] + 1]]
+            for t in np.unique(edits[cell[ready]]).tolist():
+                some = ready[edits[cell[ready]] == t]
+                own_cell = cell[some]
+                length = low[own_cell] // (t + 1)
+                for i in range(t + 1):
+                    for shift in range(-min(i, t - i), i + 1):
+                        start = i * length + shift
+                        fine = np.flatnonzero((start >= 0) & (start + length <= self.sizes[some]))
+                        at, begin, size = some[fine], start[fine], length[fine]
+                        with np.errstate(over="ignore"):
+                            key = mix(self.hashes(self.starts[at] + begin, size) + own_cell[fine].astype(np.uint64) * _U(0x8EBC6AF09C88C6E3) + _U(i + 1) * _U(0x589965CC75374CC3))
+                        left = low[own_cell[fine]] - (i + 1) * size
+                        yield at, key.view(np.int64), not back and not shift, begin + size, np.full(len(at), t - i), left
+
+
+def refine(lines: Lines, at: np.ndarray, key: np.ndarray, own: np.ndarray, place: np.ndarray, edits: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Finer keys for entries of ``lines``: (entry, key, own, place, edits, left), each with a segment of the line behind ``place`` in it.
+
+    ``edits`` may lie behind ``place``, where a line that owns its key has
+    ``left`` code points at least. Without edits all of the rest is the segment;
+    where the segments would be too short, the entry stays as it is, without edits.
+    """
+    rest, out = lines.sizes[at] - place, []
+
+    def add(entry: np.ndarray, j: int, own: np.ndarray, start: np.ndarray, size: np.ndarray, edits: np.ndarray, left: np.ndarray) -> None:
+        with np.errstate(over="ignore"):
+            raw = lines.hashes(lines.starts[at[entry]] + start, size) + size.astype(np.uint64) * _U(_BASE)
+            new = mix(mix(raw + _U(j + 1) * _U(0x589965CC75374CC3)) ^ key[entry].view(np.uint64))
+        out.append((entry, new.view(np.int64), own, start + size, edits, left))
+
+    entries, none = np.arange(len(at)), np.zeros(len(at), np.int64)
+    whole = edits == 0
+    add(entries[whole], 0, own[whole], place[whole], rest[whole], none[whole], none[whole] - 1)
+    length = left // (edits + 1)
+    stay = ~whole & (length < LEAST_SEGMENT)
+    out.append((entries[stay], key[stay], own[stay], place[stay], none[stay], none[stay] - 1))
+    for t in np.unique(edits[~whole & ~stay]).tolist():
+        some = entries[~whole & ~stay & (edits == t)]
+        for j in range(t + 1):
+            for shift in range(-j, j + 1):
+                start, size = j * length[some] + shift, length[some]
+                fine = (start >= 0) & (start + size <= rest[some])
+                entry, begin, n = some[fine], start[fine] + place[some[fine]], size[fine]
+                add(entry, j, own[entry] & (shift == 0), begin, n, np.full(len(entry), t - j), left[entry] - (j + 1) * n)
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+#: Segments of fewer code points don't tell lines apart.
+LEAST_SEGMENT = 4
 
 
 _POWERS: list = []
@@ -118,13 +187,6 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def segment(size: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of the i-th of ``parts`` even segments; the longer ones come last."""
-    base, longer = size // parts, size % parts
-    short = parts - longer
-    return i * base + np.maximum(0, i - short), base + (i >= short)
-
-
 def lines_of(texts: list[str], least: int) -> Iterator[Lines]:
     """The texts' lines, in buffers of about CHUNK code points; longer texts are cut at line feeds."""
     first = 0
@@ -160,6 +222,41 @@ def _padded(arrays: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
+def near_pairs(codes: list[np.ndarray], x: np.ndarray, y: np.ndarray, edits: np.ndarray) -> np.ndarray:
+    """Whether lines x[i] and y[i] of the list are at most edits[i] edits apart: what they begin and end with alike is cut off, the rest goes through the band."""
+    out = np.zeros(len(x), bool)
+    sizes = np.array(list(map(len, codes)), np.int64)
+    order = np.argsort(np.maximum(sizes[x], sizes[y]), kind="stable")
+    at = 0
+    while at < len(order):
+        widths = np.maximum(sizes[x[order[at:]]], sizes[y[order[at:]]]) * np.arange(1, len(order) - at + 1)
+        some = order[at : at + max(1, int(np.searchsorted(widths, 1 << 21)))]
+        at += len(some)
+        used, back = np.unique(np.concatenate([x[some], y[some]]), return_inverse=True)
+        p, q, t, own = back[: len(some)], back[len(some) :], edits[some], sizes[used]
+        texts = [codes[k] for k in used]
+        least = np.minimum(own[p], own[q])
+        head = _alike(_padded(texts, int(own.max())), p, q, least)
+        tail = np.minimum(_alike(_padded([c[::-1] for c in texts], int(own.max())), p, q, least), least - head)
+        rest_p, rest_q = own[p] - head - tail, own[q] - head - tail
+        mine = (np.minimum(rest_p, rest_q) == 0) & (np.maximum(rest_p, rest_q) <= t)
+        todo = np.flatnonzero((np.minimum(rest_p, rest_q) > 0) & (np.abs(rest_p - rest_q) <= t))
+        for k in np.unique(t[todo]).tolist():
+            few = todo[t[todo] == k]
+            sides = [[texts[i][h : h + n] for i, h, n in zip(side[few].tolist(), head[few].tolist(), rest[few].tolist())] for side, rest in ((p, rest_p), (q, rest_q))]
+            mine[few] = within(*sides, k)
+        out[some] = mine
+    return out
+
+
+def _alike(rows: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many elements, ``most`` at most, rows p and q begin with alike."""
+    if not rows.shape[1]:
+        return np.zeros(len(p), np.int64)
+    same = rows[p] == rows[q]
+    return np.minimum(np.where(same.all(axis=1), rows.shape[1], same.argmin(axis=1)), most)
+
+
 def within(left: list[np.ndarray], right: list[np.ndarray], edits: int) -> np.ndarray:
     """Whether each pair of code point arrays is at most ``edits`` edits apart.
 
@@ -241,9 +338,13 @@ def occurrences(docs: DataFrame, settings: Settings) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, line_no long, line long, chars long")
 
 
-def _shared_keys(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(key, line) for keys that are some line's segment and that two different lines have at least; rows may repeat."""
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Characters of lines whose keys go to one bucket, about: a task holds its bucket's keys.
+BUCKET_CHARS = 8 << 20
+
+
+def _shared_keys(docs: DataFrame, settings: Settings, chars: int) -> DataFrame:
+    """(key, line) for keys that are some line's segment and that two different lines have at least; rows may repeat. ``chars``: of all lines."""
+    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // BUCKET_CHARS + 1)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values, held, turn = [], [], 0, 0
@@ -279,12 +380,12 @@ def _shared_keys(docs: DataFrame, settings: Settings) -> DataFrame:
         for b in (s for x in batches for s in slices(x)):
             for lines in lines_of(b.column(1).to_pylist(), settings.least_chars):
                 ids = lines.ids()
-                for at, key, own in lines.keys(settings.edits):
+                for at, key, own, *_ in lines.keys(settings):
                     keys.append(key)
                     values.append(ids[at] | own)
                     held += len(key)
-            if held > 600_000:
-                yield flush()
+                if held > 600_000:
+                    yield flush()
         if held:
             yield flush()
 
@@ -343,68 +444,184 @@ def _line_texts(docs: DataFrame, settings: Settings) -> DataFrame:
     return _texts(docs).mapInArrow(run, "line long, text string")
 
 
+ENTRIES = "key long, line long, own boolean, place int, edits int, room int"
+
+
+def _refined(entries: DataFrame, texts: DataFrame, settings: Settings, first: bool) -> DataFrame:
+    """Finer entries for those of hot keys. ``first``: the entries are (key, line) of the lines' own keys, to be found in them again."""
+    names = ["key"] if first else ["key", "own", "place", "edits", "room"]
+    held = entries.groupBy("line").agg(F.collect_list(F.struct(*names)).alias("held")).join(texts, "line").select("line", "text", *(F.col(f"held.{n}").alias(n) for n in names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (s for x in batches for s in slices(x)):
+            ids = b.column(0).to_numpy()
+            owners = [np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy())]
+            columns = [np.asarray(b.column(i).flatten()) for i in range(2, b.num_columns)]
+            for lines in lines_of(b.column(1).to_pylist(), 0):
+                base, count = int(lines.owner[0]), len(lines.owner)
+                mine = np.flatnonzero((owners[0] >= base) & (owners[0] < base + count))
+                at, key = owners[0][mine] - base, columns[0][mine]
+                if first:
+                    asked = set(zip(at.tolist(), key.tolist()))
+                    hot, parts = np.unique(key), []
+                    for found, keys, own, place, edits, left in lines.keys(settings):
+                        hit = np.flatnonzero(np.isin(keys, hot))
+                        hit = hit[[pair in asked for pair in zip(found[hit].tolist(), keys[hit].tolist())]] if len(hit) else hit
+                        if len(hit):
+                            parts.append((found[hit], keys[hit], np.full(len(hit), own), place[hit], edits[hit], left[hit]))
+                    if not parts:
+                        continue
+                    given = tuple(np.concatenate(c) for c in zip(*parts))
+                else:
+                    own, place, edits, left = (columns[i][mine] for i in range(1, 5))
+                    given = (at, key, own.astype(bool), place.astype(np.int64), edits.astype(np.int64), left.astype(np.int64))
+                entry, key, own, place, edits, left = refine(lines, *given)
+                line = ids[base + given[0][entry]]
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32())
+                for a in range(0, len(line), 200_000):
+                    z = slice(a, a + 200_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(c[z], t) for c, t in zip((key, line, own, place, edits, left), kinds)], names=[n.split()[0] for n in ENTRIES.split(", ")])
+
+    return held.mapInArrow(run, ENTRIES).distinct()
+
+
+def _leaves(shared: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """(key, line, n): what is checked together, n the lines of the key. Keys of more than ``block`` lines are refined as long as edits are left."""
+    count = [F.count("*").alias("n"), F.sum(F.xxhash64("line") % (1 << 40)).alias("s"), F.bit_xor(F.xxhash64("line", F.lit(1))).alias("x")]
+    marks = cut_small(shared.groupBy("key").agg(*count))
+    hot = cut_small(marks.where(F.col("n") > settings.block).select("key"))
+    if not settings.rounds or not hot.limit(1).count():
+        return _one_of_equal(shared, marks)
+    leaves, told = semi(shared, hot, "key", "left_anti"), marks.where(F.col("n") <= settings.block)
+    entries = cut_small(attach(shared, hot, "key"))
+    lines = cut_small(entries.select("line").distinct())
+    texts = cut(semi(_line_texts(docs, settings), lines, "line").dropDuplicates(["line"]))
+    for number in range(settings.rounds):
+        entries = cut_small(_refined(entries, texts, settings, number == 0))
+        pairs = cut_small(entries.groupBy("key", "line").agg(F.max("own").alias("own"), F.max("edits").alias("edits")))
+        marks = cut_small(pairs.groupBy("key").agg(*count, F.max("own").alias("own"), F.max("edits").alias("edits")).where("own and n > 1"))
+        last = number == settings.rounds - 1
+        again = (F.col("n") > settings.block) & (F.col("edits") > 0) & F.lit(not last)
+        leaves = leaves.union(pairs.select("key", "line"))
+        told = told.union(marks.where(~again).select("key", "n", "s", "x"))
+        hot = cut_small(marks.where(again).select("key"))
+        if last or not hot.limit(1).count():
+            break
+        entries = attach(entries, hot, "key")
+    return _one_of_equal(leaves, cut_small(told))
+
+
+def _one_of_equal(entries: DataFrame, marks: DataFrame) -> DataFrame:
+    """The entries of marked keys; keys with the same lines say the same: one of them stays."""
+    kept = cut_small(marks.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", "n"))
+    many = cut_small(kept.where(F.col("n") >= MANY_LINES))
+    if not many.limit(1).count():
+        return entries.join(kept, "key").select("key", "line", "n")
+    rest = semi(entries, many.select("key"), "key", "left_anti").join(kept.where(F.col("n") < MANY_LINES), "key")
+    return attach(entries, many, "key").select("key", "line", "n").union(rest.select("key", "line", "n"))
+
+
+#: Lines of a key from which on its entries aren't brought together to be joined.
+MANY_LINES = 5_000
+#: Lines of a block from which on its pairs are looked at as arrays.
+ARRAYS_FROM = 12
+
+
+def block_pairs(key: tuple, rows: list[tuple], codes: list[np.ndarray], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block (rows of part, line, own keys) that may be near and whose smallest common key this is."""
+    entry, i, j = key
+    chars, part = np.array(list(map(len, codes))), np.array([r[0] for r in rows])
+    x, y = np.triu_indices(len(rows), 1)
+    apart = np.abs(chars[x] - chars[y])
+    edits = settings.edits_of(np.minimum(chars[x], chars[y]))
+    fine = (apart <= edits) & ((part[x] != part[y]) if i != j else True)
+    x, y, edits = x[fine], y[fine], edits[fine]
+    if len(rows) < ARRAYS_FROM:
+        keys = [set(r[2]) for r in rows]
+        some = np.array([min(keys[a] & keys[b]) == entry for a, b in zip(x.tolist(), y.tolist())], bool)
+        return x[some], y[some]
+    # an edit changes two of the counts of letters at most
+    letters = np.stack([np.bincount(c & 31, minlength=32) for c in codes]).astype(np.int32)
+    near = np.concatenate([np.abs(letters[x[a : a + 65_536]] - letters[y[a : a + 65_536]]).sum(axis=1) <= 2 * edits[a : a + 65_536] for a in range(0, max(1, len(x)), 65_536)])
+    x, y = x[near], y[near]
+    owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+    flat = np.concatenate([np.asarray(r[2], np.int64) for r in rows])
+    owner, flat = owner[flat < entry], flat[flat < entry]
+    _, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.zeros((len(rows), len(rows)), bool)
+    common = times[place] > 1
+    owner, place = owner[common], place[common]
+    names = np.unique(place)
+    for a in range(0, len(names), 4096):
+        some = (place >= names[a]) & (place <= names[min(len(names), a + 4096) - 1])
+        has = np.zeros((len(rows), min(4096, len(names) - a)), np.float32)
+        has[owner[some], np.searchsorted(names, place[some]) - a] = 1
+        shared |= has @ has.T > 0
+    some = ~shared[x, y]
+    return x[some], y[some]
+
+
 def _check(dealt: DataFrame, settings: Settings) -> DataFrame:
     """(a, b, n): a's links found (b null), or a link of the forest (n null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []
+        ids: list[int] = []
+        codes: list[np.ndarray] = []
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
+
+        def take(key: tuple, rows: list[tuple]) -> None:
+            """The block's pairs are put with those that wait."""
+            nonlocal waiting
+            if len(rows) < 2:
+                return
+            own = [np.frombuffer(r[3].encode("utf-32-le"), np.uint32) for r in rows]
+            x, y = block_pairs(key, rows, own, settings)
+            if not len(x):
+                return
+            pairs.append((x + len(ids), y + len(ids)))
+            ids.extend(r[1] for r in rows)
+            codes.extend(own)
+            waiting += len(x)
 
         def flush() -> pa.RecordBatch:
-            codes: dict[int, np.ndarray] = {}
-            for a, b in waiting:
-                for line, text in (a, b):
-                    if line not in codes:
-                        codes[line] = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            near = within([codes[a[0]] for a, _ in waiting], [codes[b[0]] for _, b in waiting], settings.edits)
-            counts: dict[int, int] = {}
-            root: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while root.setdefault(x, x) != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            rows = []
-            for i in np.flatnonzero(near):
-                x, y = waiting[i][0][0], waiting[i][1][0]
-                for line in (x, y):
-                    counts[line] = counts.get(line, 0) + 1
-                if (p := find(x)) != (q := find(y)):
-                    root[p] = q
-                    rows.append((x, y, None))
-            rows += [(line, None, n) for line, n in counts.items()]
-            waiting.clear()
+            nonlocal waiting
+            rows: list[tuple] = []
+            if pairs:
+                x, y = (np.concatenate(c) for c in zip(*pairs))
+                sizes = np.array(list(map(len, codes)))
+                near = near_pairs(codes, x, y, settings.edits_of(np.minimum(sizes[x], sizes[y])))
+                line = np.array(ids)
+                a, b = line[x[near]], line[y[near]]
+                found, times = np.unique(np.concatenate([a, b]), return_counts=True)
+                root: dict[int, int] = {}
+
+                def find(v: int) -> int:
+                    while root.setdefault(v, v) != v:
+                        root[v] = root[root[v]]
+                        v = root[v]
+                    return v
+
+                for p, q in zip(a.tolist(), b.tolist()):
+                    if (u := find(p)) != (v := find(q)):
+                        root[u] = v
+                        rows.append((p, q, None))
+                rows += [(v, None, n) for v, n in zip(found.tolist(), times.tolist())]
+            for held in (ids, codes, pairs):
+                held.clear()
+            waiting = 0
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), (), ()))], names=["a", "b", "n"])
 
-        def pairs(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
-            """Pairs of the block whose smallest common key this is and whose lengths are near."""
-            if len(rows) < 2:
-                return
-            entry, i, j = key
-            chars = np.array([len(r[3]) for r in rows])
-            part = np.array([r[0] for r in rows])
-            x, y = np.triu_indices(len(rows), 1)
-            fine = (np.abs(chars[x] - chars[y]) <= settings.edits) & ((part[x] != part[y]) if i != j else True)
-            for a, b in zip(x[fine].tolist(), y[fine].tolist()):
-                if min(set(rows[a][2]).intersection(rows[b][2])) == entry:
-                    yield (rows[a][1], rows[a][3]), (rows[b][1], rows[b][3])
-
         at, held = None, []
         for b in batches:
-            columns = [c.to_pylist() for c in b.columns]
-            for row in zip(*columns):
+            for row in zip(*(c.to_pylist() for c in b.columns)):
                 if row[:3] != at:
-                    for pair in pairs(at, held) if held else ():
-                        waiting.append(pair)
-                        if len(waiting) >= 4096:
-                            yield flush()
+                    take(at, held)
+                    if waiting >= 4096:
+                        yield flush()
                     at, held = row[:3], []
                 held.append(row[3:])
-        for pair in pairs(at, held) if held else ():
-            waiting.append(pair)
-            if len(waiting) >= 4096:
-                yield flush()
+        take(at, held)
         yield flush()
 
     keys = ["key", "i", "j"]
@@ -415,8 +632,9 @@ def link_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per line of ``settings.floor`` code points at least: doc_id, line_no, chars, class_doc_id, class_line_no, n_links, kept.
 
     Lines are what line feeds part, numbered from 0. Equal lines are one line;
-    n_links is the number of different lines within ``edits`` edits of it, none
-    for a line under ``least_chars``, whose class is its exact copies. A line's
+    n_links is the number of different lines within as many edits of it as
+    ``Settings.edits_of`` the shorter one's length, none for a line under
+    ``least_chars``, whose class is its exact copies. A line's
     class holds all lines reachable by links; class_doc_id and class_line_no are
     the class's first line by (doc_id, line_no), which alone is kept. Code points
     are what is counted. Lines stand as 63-bit hashes; keys as 64-bit ones.
@@ -428,11 +646,9 @@ def link_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     docs = docs.where("doc_id is not null")
     found = cut(occurrences(docs, settings))
-    shared = cut_small(_shared_keys(docs, settings).distinct())
-    marks = shared.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("line") % (1 << 40)).alias("s"), F.bit_xor(F.xxhash64("line", F.lit(1))).alias("x"))
-    # keys with the same lines say the same: one of them stays
-    kept_keys = marks.groupBy("n", "s", "x").agg(F.min("key").alias("key"))
-    entries = cut_small(shared.join(kept_keys.select("key", "n"), "key"))
+    chars = found.where(F.col("chars") >= settings.least_chars).agg(F.sum("chars")).first()[0] or 0
+    shared = cut_small(_shared_keys(docs, settings, chars).distinct())
+    entries = cut_small(_leaves(shared, docs, settings))
     own_keys = cut_small(entries.groupBy("line").agg(F.collect_list("key").alias("own_keys")))
     texts = semi(_line_texts(docs, settings), own_keys.select("line"), "line").dropDuplicates(["line"])
     blocks = entries.select("key", "line", (F.col("n") / settings.block).cast("int").alias("top")).withColumn("part", F.pmod(F.xxhash64("line"), F.col("top") + 1).cast("int"))

@@ -159,18 +159,18 @@ def test_band_against_the_full_table(edits):
     assert got.tolist() == [distance(a, b) <= edits for a, b in zip(left, right)]
 
 
-@pytest.mark.parametrize("settings", [line_dedup.Settings(), line_dedup.Settings(block=3), line_dedup.Settings(edits=1, least_chars=10)])
+@pytest.mark.parametrize("settings", [line_dedup.Settings(), line_dedup.Settings(block=3), line_dedup.Settings(edits=1, least_chars=10), line_dedup.Settings(per=4, block=3), line_dedup.Settings(per=4, block=2, rounds=1), line_dedup.Settings(block=2, rounds=0)])
 def test_lines_against_all_pairs(spark, settings):
     rng = random.Random(8)
-    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([12, 33, 40, 60]))) for _ in range(25)]
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([12, 33, 40, 60, 110]))) for _ in range(25)]
     docs = []
     for k in range(60):
-        own = [edited(rng, rng.choice(base), rng.choice([0, 0, 1, 1, 2, 3])) for _ in range(rng.randrange(6))]
+        own = [edited(rng, rng.choice(base), rng.choice([0, 0, 1, 1, 2, 3, 5])) for _ in range(rng.randrange(6))]
         docs.append((k, "\n".join(own + ["short"])))
     found = line_dedup.link_lines(spark.createDataFrame(docs, "doc_id long, text string"), settings).collect()
     lines = [(i, k, line) for i, text in docs for k, line in enumerate(text.split("\n")) if len(line) >= settings.least_chars]
     distinct = sorted({x for _, _, x in lines})
-    near = [(a, b) for k, a in enumerate(distinct) for b in distinct[k + 1 :] if abs(len(a) - len(b)) <= settings.edits and distance(a, b) <= settings.edits]
+    near = [(a, b) for k, a in enumerate(distinct) for b in distinct[k + 1 :] if abs(len(a) - len(b)) <= (t := settings.edits_of(np.array([min(len(a), len(b))]))[0]) and distance(a, b) <= t]
     place = {x: n for n, x in enumerate(distinct)}
     label = smallest_reachable(range(len(distinct)), [(place[a], place[b]) for a, b in near])
     counts, head = Counter(x for pair in near for x in pair), {}
