@@ -1,15 +1,18 @@
 """A Brown class-based bigram model: exchange clustering, class transitions, word emissions.
 
 P(word | before) = P(class of word | class of the word before) * P(word | class
-of word). The units that are put into classes are the words whose share of all
-training tokens is ``Settings.frequent`` at least (so 1 / frequent of them at
-most, at any size of the corpus), and, for all rarer words, groups of words with
-the same ending. Exchange sweeps go over the whole training corpus: tasks count
-each unit's neighbours by class, and units move to the class that gains most in
-likelihood. Every word, rare ones too, has its own emission from its own count.
-
-Unit ids, classes and class tables are bounded by the settings and travel to
-all tasks; the counts of rare words don't fit everywhere, so lookups of them are
+of word). Exchange clustering goes on in two steps. The words whose share of all
+training tokens is ``Settings.frequent`` at least are exchanged one at a time, with
+all rarer words as groups of equal endings beside them: tasks count each one's
+neighbours by class over the whole corpus, and each in turn moves to the class that
+gains most in likelihood, the class counts following every move. Then each rarer
+word, dealt by word to tasks with its own neighbours by class, joins the class that
+gains most; ``Settings.words`` words get classes in this way. Only words beyond
+those, the rarest, share the class of their ending. Every word, however rare, has
+its own emission from its own count.
+
+Classes and counts of these words are bounded by the settings and travel to all
+tasks; counts of words beyond them don't fit everywhere, so lookups of them are
 dealt by word in packed arrays, and their sums by document come back the same way.
 """
 
@@ -28,14 +31,17 @@ from .common import cut, slices, text_column
 from .words import words_and_endings
 
 LOCAL_BITS = 36
+#: Words whose counts are looked up in one bucket, about.
+BUCKET_WORDS = 200_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``groups``: of rare words by ending of ``ending`` bytes; ``prior``: weight of the class's own share in its transitions."""
+    """``frequent``: share of words that are exchanged one at a time; ``words``: that have classes of their own at most; ``groups``: of other words by ending of ``ending`` bytes; ``prior``: weight of the class's own share in its transitions."""
 
     classes: int = 64
     frequent: float = 2e-5
+    words: int = 2_000_000
     groups: int = 1024
     ending: int = 3
     sweeps: int = 6
@@ -63,37 +69,50 @@ def _gain(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(before: np.ndarray, after: np.ndarray, classes: np.ndarray, movable: np.ndarray, n_classes: int) -> np.ndarray:
-    """Each movable unit's best class, the others' held fixed.
+def exchange(before: np.ndarray, after: np.ndarray, classes: np.ndarray, order: np.ndarray, n_classes: int) -> np.ndarray:
+    """One sweep: the units of ``order``, one after the other, each go to the class that gains most, and the class counts follow.
 
-    ``before[u, c]`` and ``after[u, c]`` count the neighbours of u by class. The
-    likelihood of a class bigram model is, but for constants, the sum of
-    n log n over class pairs less that over the classes' totals on either side.
+    ``before[u, c]`` and ``after[u, c]`` count the neighbours of u by class, as
+    they were when the sweep began. The likelihood of a class bigram model is, but
+    for constants, the sum of n log n over class pairs less that over the classes'
+    totals on either side.
     """
     out = classes.copy()
     pair = np.zeros((n_classes, n_classes))
     np.add.at(pair, classes, after)
-    for at in np.array_split(np.flatnonzero(movable), max(1, int(movable.sum()) // 256)):
-        if not len(at):
+    rows, columns = pair.sum(axis=1), pair.sum(axis=0)
+    for u in order.tolist():
+        left, right, own = before[u], after[u], out[u]
+        n_left, n_right = left.sum(), right.sum()
+        if not n_left + n_right:
             continue
-        own, left, right = classes[at], before[at], after[at]
-        n_right, n_left = right.sum(axis=1), left.sum(axis=1)
-        rows, columns = pair.sum(axis=1), pair.sum(axis=0)
-        # what joining each class adds: the unit's own counts are taken out of its class first
-        gain = np.empty((len(at), n_classes))
-        for c in range(n_classes):
-            mine = (own == c)[:, None]
-            row, column = pair[c][None, :] - np.where(mine, right, 0), pair[:, c][None, :] - np.where(mine, left, 0)
-            row, column = np.maximum(row, 0), np.maximum(column, 0)
-            total_r, total_c = np.maximum(rows[c] - mine[:, 0] * n_right, 0), np.maximum(columns[c] - mine[:, 0] * n_left, 0)
-            gain[:, c] = (_gain(row + right) - _gain(row)).sum(axis=1) + (_gain(column + left) - _gain(column)).sum(axis=1) - (_gain(total_r + n_right) - _gain(total_r)) - (_gain(total_c + n_left) - _gain(total_c))
-        out[at] = np.where(n_left + n_right > 0, gain.argmax(axis=1), own)
+        pair[own] = np.maximum(pair[own] - right, 0)
+        pair[:, own] = np.maximum(pair[:, own] - left, 0)
+        rows[own], columns[own] = max(rows[own] - n_right, 0), max(columns[own] - n_left, 0)
+        to, since = np.flatnonzero(right), np.flatnonzero(left)
+        ahead, behind = pair[:, to], pair[since]
+        gain = (_gain(ahead + right[to]) - _gain(ahead)).sum(axis=1) + (_gain(behind + left[since, None]) - _gain(behind)).sum(axis=0)
+        gain -= _gain(rows + n_right) - _gain(rows) + _gain(columns + n_left) - _gain(columns)
+        new = int(gain.argmax())
+        pair[new] += right
+        pair[:, new] += left
+        rows[new] += n_right
+        columns[new] += n_left
+        out[u] = new
     return out
 
 
+def joining(pair: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The class that each of some rare words joins by its neighbours: the gain of the sweep above, to first order in the word's counts."""
+    rows, columns = np.log(pair.sum(axis=1) + 1), np.log(pair.sum(axis=0) + 1)
+    seen = np.log(pair + 0.5)
+    gain = after @ seen.T + before @ seen - after.sum(axis=1)[:, None] * rows[None, :] - before.sum(axis=1)[:, None] * columns[None, :]
+    return gain[:, :-1].argmax(axis=1)  # the last class is the end's own
+
+
 @dataclass(frozen=True)
 class Model:
-    """``counts``: of frequent words, in the units' order; ``join``: log10 transitions; ``room``: log10 of each class's denominator."""
+    """``units``: the words with classes of their own, groups, the end; ``counts``: of these words, in the units' order; ``join``: log10 transitions; ``room``: log10 of each class's denominator."""
 
     units: Units
     classes: np.ndarray
@@ -199,50 +218,175 @@ def _neighbours(streams: DataFrame, classes: np.ndarray, n: int, settings: Setti
     return both[:, :k], both[:, k:]
 
 
-def train(docs: DataFrame, settings: Settings | None = None) -> tuple[Model, DataFrame]:
-    """The model of the rows of ``docs`` that aren't held out, and the counts of all its words."""
+def _floor(counts: DataFrame, most: int, tokens: int) -> int:
+    """The least count that ``most`` words at most reach."""
+    steps = 1000
+    found = {r["c"]: r["n"] for r in counts.where("word is not null").groupBy(F.least("c", F.lit(steps)).alias("c")).agg(F.count("*").alias("n")).collect()}
+    if found.get(steps, 0) > most:
+        return tokens // most + 1
+    left, floor = most, steps
+    while floor > 1 and found.get(floor - 1, 0) + found.get(floor, 0) <= left:
+        left -= found.get(floor, 0)
+        floor -= 1
+    return floor if found.get(floor, 0) <= left else floor + 1
+
+
+def _joined(training: DataFrame, units: Units, inner: Units, classes: np.ndarray, pair: np.ndarray, settings: Settings) -> np.ndarray:
+    """The class of each word of ``units``: that of ``inner``, or for words that aren't there the one they join."""
+    k, n = settings.classes, len(units.words)
+    known = np.zeros(n, bool)
+    if len(inner.words):
+        known[np.searchsorted(units.words, inner.words)] = True
+    rare = np.flatnonzero(~known)
+    out = np.zeros(n, np.uint8)
+    out[known] = classes[: len(inner.words)]
+    if not len(rare):
+        return out
+    spark = training.sparkSession
+    shared = spark.sparkContext.broadcast((units, inner, classes, ~known))
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // 4096 + 1)
+    end = int(classes[inner.end])
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packed (word, side, class) of rare words' neighbours, by bucket of the word."""
+        all_units, few, own, wanted = shared.value
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            key = np.sort(np.concatenate(held))
+            held.clear()
+            place = key // (2 * k)
+            bucket = (place % buckets).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket, key = bucket[order], key[order]
+            edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(key)]
+            rows = [(int(bucket[a]), key[a:z].astype(np.uint32).tobytes()) for a, z in zip(edges, edges[1:]) if z > a]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["bucket", "keys"])
+
+        for b in (s for x in batches for s in slices(x)):
+            for _, _, hashes, endings, bounds in words_and_endings(_bytes(b), settings.ending):
+                c = own[few.of(hashes, endings)].astype(np.int64)
+                line = np.insert(c, bounds[1:], end)
+                at = np.arange(len(c)) + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                place = all_units.of(hashes, endings)
+                some = np.flatnonzero(place < len(all_units.words))
+                some = some[wanted[place[some]]]
+                previous = np.append(end, line[:-1])[at[some]]
+                held += [place[some] * (2 * k) + previous, place[some] * (2 * k) + k + line[at[some] + 1]]
+                size += 2 * len(some)
+                if size > 2_000_000:
+                    yield flush()
+                    size = 0
+        if size:
+            yield flush()
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for b in batches:
+            for bucket, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                key = np.frombuffer(raw, np.uint32).astype(np.int64)
+                if bucket not in totals:
+                    totals[bucket] = np.zeros(((n - bucket - 1) // buckets + 1, 2 * k), np.float32)
+                place = key // (2 * k)
+                np.add.at(totals[bucket], ((place - bucket) // buckets, key % (2 * k)), 1)
+        for bucket, both in totals.items():
+            live = np.flatnonzero(both.any(axis=1))
+            chosen = joining(pair, both[live, :k].astype(np.float64), both[live, k:].astype(np.float64))
+            yield pa.RecordBatch.from_arrays([pa.array((live * buckets + bucket).astype(np.int32)), pa.array(chosen.astype(np.int16))], names=["place", "class"])
+
+    packed = training.select("doc_id", "text").mapInArrow(neighbours, "bucket int, keys binary")
+    got = packed.repartition(buckets, "bucket").mapInArrow(choose, "place int, class smallint").toArrow()  # ``words`` rows at most
+    out[np.asarray(got.column("place"))] = np.asarray(got.column("class"))
+    return out
+
+
+def _transitions(training: DataFrame, units: Units, classes: np.ndarray, settings: Settings) -> np.ndarray:
+    """How often each class follows each, an end after each text and before the first word of each."""
+    k, end = settings.classes, int(classes[units.end])
+    shared = training.sparkSession.sparkContext.broadcast((units, classes))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_units, own = shared.value
+        total = np.zeros(k * k, np.int64)
+        for b in (s for x in batches for s in slices(x)):
+            for _, _, hashes, endings, bounds in words_and_endings(_bytes(b), settings.ending):
+                line = np.insert(own[all_units.of(hashes, endings)].astype(np.int64), bounds[1:], end)
+                total += np.bincount(np.append(end, line[:-1]) * k + line, minlength=k * k)
+        live = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(live.astype(np.int32)), pa.array(total[live])], names=["pair", "n"])
+
+    counted = training.select("doc_id", "text").mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # classes squared at most
+    out = np.zeros(k * k)
+    for r in counted:
+        out[r["pair"]] = r["n"]
+    return out.reshape(k, k)
+
+
+def _groups(counts: DataFrame, settings: Settings, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct words of each group, of words below a count."""
+    tokens, kinds = np.zeros(settings.groups), np.zeros(settings.groups)
+    for r in counts.where(F.col("word").isNotNull() & (F.col("c") < F.lit(floor))).groupBy("grp").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+        tokens[r["grp"]], kinds[r["grp"]] = r["c"], r["v"]
+    return tokens, kinds
+
+
+def _known(counts: DataFrame, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Words that occur so often, sorted, and their counts; bounded by the floor."""
+    found = counts.where(F.col("word").isNotNull() & (F.col("c") >= F.lit(floor))).select("word", "c").toArrow()
+    words, times = np.asarray(found.column("word"), np.int64), np.asarray(found.column("c"), np.int64)
+    order = np.argsort(words)
+    return words[order], times[order]
+
+
+def train(docs: DataFrame, settings: Settings | None = None) -> tuple[Model, DataFrame, int]:
+    """The model of the rows of ``docs`` that aren't held out, the counts of all its words, and the count from which they have classes of their own."""
     own = settings or Settings()
     training = _training(docs).where("not held_out")
     counts = cut(_word_counts(training, own))
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("word").isNull(), F.col("c"))).alias("ends")).first()
     n, v, ends = (int(x or 0) for x in totals)
-    common = counts.where(F.col("word").isNotNull() & (F.col("c") >= F.lit(own.frequent * n))).select("word", "c").toArrow()  # 1 / frequent rows at most
-    words, times = np.asarray(common.column("word"), np.int64), np.asarray(common.column("c"), np.int64)
-    order = np.argsort(words)
-    words, times = words[order], times[order]
-    units = Units(words, own.groups)
-    rare = counts.where(F.col("word").isNotNull() & (F.col("c") < F.lit(own.frequent * n))).groupBy("grp").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
-    tokens, kinds = np.zeros(units.end + 1), np.zeros(units.end + 1)
-    tokens[: len(words)], kinds[: len(words)] = times, 1
-    for r in rare:
-        tokens[len(words) + r["grp"]], kinds[len(words) + r["grp"]] = r["c"], r["v"]
-    tokens[units.end], kinds[units.end] = ends, 1
-    streams = cut(_unit_streams(training, units, own))
+    floor = _floor(counts, own.words, n)
+    words, times = _known(counts, max(floor, own.frequent * n))
+    inner = Units(words, own.groups)
+    tokens, _ = _groups(counts, own, max(floor, own.frequent * n))
+    tokens = np.concatenate([times, tokens, [ends]])
+    streams = cut(_unit_streams(training, inner, own))
     k, last = own.classes, own.classes - 1
-    classes = np.zeros(units.end + 1, np.uint8)
-    classes[np.argsort(-tokens, kind="stable")] = np.arange(units.end + 1) % last  # round robin by frequency
-    classes[units.end] = last
+    classes = np.zeros(inner.end + 1, np.uint8)
+    classes[np.argsort(-tokens, kind="stable")] = np.arange(inner.end + 1) % last  # round robin by frequency
+    classes[inner.end] = last
     rng = np.random.default_rng(own.seed)
     for sweep in range(own.sweeps + 1):
-        before, after = _neighbours(streams, classes, units.end + 1, own)
+        before, after = _neighbours(streams, classes, inner.end + 1, own)
         if sweep == own.sweeps:
             break
-        movable = rng.random(units.end + 1) < (1.0 if sweep == 0 else 0.6)
-        movable[units.end] = False
-        classes = _moved(before, after, classes, movable, last)
+        # neighbours of neighbours have moved by the end of a sweep: later ones move a part of the units
+        order = rng.permutation(inner.end)
+        classes = _moved(before, after, classes, order if sweep < 2 else order[: len(order) * 3 // 5 + 1], last)
     pair = np.zeros((k, k))
     np.add.at(pair, classes, after)
+    words, times = _known(counts, floor)
+    units = Units(words, own.groups)
+    own_classes = _joined(training, units, inner, classes, pair, own)
+    classes = np.concatenate([own_classes, classes[len(inner.words) :]])
+    tokens, kinds = _groups(counts, own, floor)
+    tokens = np.concatenate([times, tokens, [ends]])
+    kinds = np.concatenate([np.ones(len(words)), kinds, [1]])
+    pair = _transitions(training, units, classes, own)
     share = (np.bincount(classes, tokens, k) + 1) / (tokens.sum() + k)
     join = np.log10((pair + own.prior * share[None, :]) / (pair.sum(axis=1, keepdims=True) + own.prior))
     unseen = np.bincount(classes[len(words) : units.end], minlength=k)  # one unknown word in each group
     room = np.log10(np.maximum(np.bincount(classes, tokens, k) + np.bincount(classes, kinds, k) + unseen, 1))
-    return Model(units, classes, times, join, room, n, v, ends), counts
+    return Model(units, classes, times, join, room, n, v, ends), counts, floor
 
 
-def _moved(before: np.ndarray, after: np.ndarray, classes: np.ndarray, movable: np.ndarray, last: int) -> np.ndarray:
-    """Classes after one exchange; the end's class, the last one, takes no other unit."""
-    out = exchange(before, after, classes.astype(np.int64), movable, last + 1)
-    return np.where((out == last) & movable, classes, out).astype(np.uint8)
+def _moved(before: np.ndarray, after: np.ndarray, classes: np.ndarray, order: np.ndarray, last: int) -> np.ndarray:
+    """Classes after one sweep; the end's class, the last one, takes no other unit."""
+    out = exchange(before, after, classes.astype(np.int64), order, last + 1)
+    out = np.where(out == last, classes, out)
+    out[-1] = last
+    return out.astype(np.uint8)
 
 
 def score(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -259,8 +403,8 @@ def score(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     are ignored; texts are read whole. Words stand as 64-bit hashes.
     """
     own = settings or Settings()
-    model, counts = train(docs, own)
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    model, counts, floor = train(docs, own)
+    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), model.distinct // BUCKET_WORDS + 1)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     packed = "bucket int, role int, a binary, b binary, c binary"
     names = ["bucket", "role", "a", "b", "c"]
@@ -377,8 +521,9 @@ def score(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
             columns = [ids, pa.array((head[2][z] & 1) > 0), pa.array(tokens[z].astype(np.int64)), pa.array(np.rint(known[z]).astype(np.int64)), pa.array(np.full(len(tokens[z]), m.train_tokens, np.int64)), pa.array(base[z]), pa.array(model_sum[z]), pa.array(-model_sum[z] / tokens[z] * np.log2(10))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_token"])
 
-    known_counts = counts.where(F.col("word").isNotNull() & (F.col("c") < F.lit(own.frequent * model.train_tokens))).select("word", "c").mapInArrow(pack_counts, packed)
+    known_counts = counts.where(F.col("word").isNotNull() & (F.col("c") < F.lit(floor))).select("word", "c").mapInArrow(pack_counts, packed)
     dealt = known_counts.union(_training(docs).mapInArrow(read, packed)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "role")
     summed = dealt.mapInArrow(look_up, packed)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_token double"
+    # a row's sums come back to the task that read it: as many partitions as it takes
     return summed.repartition("bucket").mapInArrow(finish, schema)

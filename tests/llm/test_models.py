@@ -349,13 +349,19 @@ def test_scores_against_plain_counts(documents):
     assert totals[True, "model"] > totals[True, "base"]
 
 
-def test_class_probabilities_sum_to_one(documents):
-    own = brown_lm.Settings(classes=8, groups=16, sweeps=2, frequent=1e-3)
-    model, counts = brown_lm.train(documents, own)
+SMALL = [brown_lm.Settings(classes=8, groups=16, sweeps=2, frequent=1e-3, words=700), brown_lm.Settings(classes=8, groups=16, sweeps=2, frequent=1e-3), brown_lm.Settings(classes=5, groups=4, sweeps=1, words=1)]
+
+
+@pytest.mark.parametrize("own", SMALL)
+def test_class_probabilities_sum_to_one(documents, own):
+    model, counts, floor = brown_lm.train(documents, own)
     assert np.allclose((10**model.join).sum(axis=1), 1)
     n = len(model.units.words)
+    assert n <= own.words and n == counts.where(f"word is not null and c >= {floor}").count()
+    assert floor == 1 or floor > 1000 or counts.where(f"word is not null and c >= {floor - 1}").count() > own.words
+    assert (model.classes[:-1] < own.classes - 1).all()
     mass = np.bincount(model.classes[:n], model.counts + 1.0, own.classes)
-    for r in counts.where(f"word is not null and c < {own.frequent * model.train_tokens}").collect():
+    for r in counts.where(f"word is not null and c < {floor}").collect():
         mass[model.classes[n + r["grp"]]] += r["c"] + 1
     mass += np.bincount(model.classes[n : n + own.groups], minlength=own.classes)
     mass[own.classes - 1] += model.end_count + 1
@@ -363,20 +369,84 @@ def test_class_probabilities_sum_to_one(documents):
     assert np.allclose(mass[used] / 10 ** model.room[used], 1)
 
 
-def test_exchange_finds_planted_classes():
-    rng = np.random.default_rng(2)
-    of = rng.integers(0, 3, 90)
+@pytest.mark.parametrize("own", SMALL)
+def test_scores_word_by_word(documents, own):
+    from lexigrain.llm.words import words_and_endings
+
+    model, counts, _ = brown_lm.train(documents, own)
+    times = {r["word"]: r["c"] for r in counts.collect()}
+    pairs, rows = np.zeros((own.classes, own.classes)), [(r["doc_id"], r["text"] or "") for r in documents.collect()]
+    end, told = int(model.classes[-1]), {}
+    for i, text in rows:
+        total, before = 0.0, end
+        words = tokens(text)
+        for _, _, hashes, endings, _ in words_and_endings([w.encode() for w in words], own.ending) if words else ():
+            for h, e in zip(hashes.view(np.int64).tolist(), endings.tolist()):
+                at = np.searchsorted(model.units.words, h)
+                known = at < len(model.units.words) and model.units.words[at] == h
+                c = int(model.classes[at if known else len(model.units.words) + e % own.groups])
+                pairs[before, c] += zlib.crc32(str(i).encode()) % 7 != 2
+                total += model.join[before, c] + math.log10(times.get(h, 0) + 1) - model.room[c]
+                before = c
+        pairs[before, end] += zlib.crc32(str(i).encode()) % 7 != 2
+        told[i] = total + model.join[before, end] + math.log10(times[None] + 1) - model.room[end]
+    share = 10 ** model.join
+    assert np.allclose(share.argmax(axis=1)[pairs.sum(axis=1) > 50], pairs.argmax(axis=1)[pairs.sum(axis=1) > 50])
+    got = {r["doc_id"]: r["score"] for r in brown_lm.score(documents, own).collect()}
+    assert got.keys() == told.keys() and all(got[i] == pytest.approx(told[i], rel=1e-9) for i in told)
+
+
+def test_scores_without_training_documents(spark):
+    held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2][:5]
+    docs = spark.createDataFrame([(k, "some words here") for k in held], "doc_id long, text string")
+    got = brown_lm.score(docs, brown_lm.Settings(classes=4, groups=4, sweeps=1)).collect()
+    assert [(r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got] == [(True, 4, 0, 0, 0.0)] * 5
+
+
+def planted_text(rng, n=60_000, words=90):
+    of = rng.integers(0, 3, words)
     pairs = np.array([[0.05, 0.9, 0.05], [0.05, 0.05, 0.9], [0.9, 0.05, 0.05]])
     text, state = [], 0
-    for _ in range(60_000):
+    for _ in range(n):
         state = rng.choice(3, p=pairs[state])
         text.append(rng.choice(np.flatnonzero(of == state)))
-    text = np.array(text)
+    return of, np.array(text)
+
+
+def neighbour_counts(text, classes, words, n_classes):
+    before, after = np.zeros((words, n_classes)), np.zeros((words, n_classes))
+    np.add.at(before, (text[1:], classes[text[:-1]]), 1)
+    np.add.at(after, (text[:-1], classes[text[1:]]), 1)
+    return before, after
+
+
+def likelihood(text, classes, n_classes):
+    pair = np.zeros((n_classes, n_classes))
+    np.add.at(pair, (classes[text[:-1]], classes[text[1:]]), 1)
+    gain = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+    return gain(pair) - gain(pair.sum(axis=1)) - gain(pair.sum(axis=0))
+
+
+@pytest.mark.parametrize("seed", [2, 3, 4])
+def test_exchange_finds_planted_classes(seed):
+    rng = np.random.default_rng(seed)
+    of, text = planted_text(rng)
     classes = rng.integers(0, 3, 90)
-    for sweep in range(12):
-        before, after = np.zeros((90, 3)), np.zeros((90, 3))
-        np.add.at(before, (text[1:], classes[text[:-1]]), 1)
-        np.add.at(after, (text[:-1], classes[text[1:]]), 1)
-        classes = brown_lm.exchange(before, after, classes, rng.random(90) < 0.5, 3)
+    for sweep in range(6):
+        before, after = neighbour_counts(text, classes, 90, 3)
+        classes = brown_lm.exchange(before, after, classes, rng.permutation(90), 3)
     same = (classes[:, None] == classes[None, :]) == (of[:, None] == of[None, :])
     assert same.mean() > 0.95
+    assert likelihood(text, classes, 3) >= likelihood(text, of, 3) - 50
+
+
+def test_rare_words_join_their_classes():
+    rng = np.random.default_rng(5)
+    of, text = planted_text(rng, 40_000, 300)
+    common = np.bincount(text, minlength=300) > 150
+    classes = np.where(common, of, 3)
+    before, after = neighbour_counts(text, classes, 300, 4)
+    pair = np.zeros((4, 4))
+    np.add.at(pair, (classes[text[:-1]], classes[text[1:]]), 1)
+    got = brown_lm.joining(pair, before[~common], after[~common])
+    assert (got == of[~common]).mean() > 0.9
