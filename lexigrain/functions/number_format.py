@@ -19,11 +19,85 @@ from lexigrain.functions.references import string_udf
 
 # Built-in formats by id.
 BUILT_IN = {
-    0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 12: "# ?/?", 13: "# ??/??",
+    0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00",
+    5: "$#,##0_);($#,##0)", 6: "$#,##0_);[Red]($#,##0)", 7: "$#,##0.00_);($#,##0.00)", 8: "$#,##0.00_);[Red]($#,##0.00)", 9: "0%", 10: "0.00%", 11: "0.00E+00", 12: "# ?/?", 13: "# ??/??",
     14: "m/d/yyyy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yyyy h:mm",
     37: "#,##0 ;(#,##0)", 38: "#,##0 ;[Red](#,##0)", 39: "#,##0.00;(#,##0.00)", 40: "#,##0.00;[Red](#,##0.00)",
+    41: '_(* #,##0_);_(* (#,##0);_(* "-"_);_(@_)', 42: '_($* #,##0_);_($* (#,##0);_($* "-"_);_(@_)', 43: '_(* #,##0.00_);_(* (#,##0.00);_(* "-"??_);_(@_)', 44: '_($* #,##0.00_);_($* (#,##0.00);_($* "-"??_);_(@_)',
     45: "mm:ss", 46: "[h]:mm:ss", 47: "mm:ss.0", 48: "##0.0E+0", 49: "@",
+    59: "t0", 60: "t0.00", 61: "t#,##0", 62: "t#,##0.00", 67: "t0%", 68: "t0.00%", 69: "t# ?/?", 70: "t# ??/??",
+    71: "ว/ด/ปปปป", 72: "ว-ดดด-ปป", 73: "ว-ดดด", 74: "ดดด-ปป", 75: "ช:นน", 76: "ช:นน:ทท", 77: "ว/ด/ปปปป ช:นน", 78: "นน:ทท", 79: "[ช]:นน:ทท", 80: "นน:ทท.0", 81: "d/m/bb",
 }
+# Built-in formats that depend on the language, as they are in Simplified Chinese.
+BUILT_IN_CHINESE = {
+    14: "yyyy/m/d", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "yyyy/m/d h:mm",
+    27: 'yyyy"年"m"月"', 28: 'm"月"d"日"', 29: 'm"月"d"日"', 30: "m-d-yy", 31: 'yyyy"年"m"月"d"日"', 32: 'h"时"mm"分"', 33: 'h"时"mm"分"ss"秒"', 34: '上午/下午 h"时"mm"分"', 35: '上午/下午 h"时"mm"分"ss"秒"', 36: 'yyyy"年"m"月"',
+    50: 'yyyy"年"m"月"', 51: 'm"月"d"日"', 52: 'yyyy"年"m"月"', 53: 'm"月"d"日"', 54: 'm"月"d"日"', 55: '上午/下午 h"时"mm"分"', 56: '上午/下午 h"时"mm"分"ss"秒"', 57: 'yyyy"年"m"月"', 58: 'm"月"d"日"',
+}
+# Numerals of the three number styles of Simplified Chinese, and their units.
+CHINESE_DIGITS = {1: "○一二三四五六七八九", 2: "零壹贰叁肆伍陆柒捌玖", 3: "０１２３４５６７８９"}
+CHINESE_UNITS = {1: "十百千", 2: "拾佰仟", 3: "十百千"}
+CHINESE_GROUPS = ("", "万", "亿", "兆")
+
+
+def built_in_code(number: int, locale: str = "en-US") -> str:
+    """The code of a built-in format; languages that aren't known have the standard ones."""
+    if locale.replace("_", "-").lower() == "zh-cn" and number in BUILT_IN_CHINESE:
+        return BUILT_IN_CHINESE[number]
+    return BUILT_IN.get(number, "General")
+
+
+def chinese_count(value: int, style: int) -> str:
+    """A whole number below 10 ** 16 with positional units: groups of four digits, a zero where places are left out."""
+    digits, units = CHINESE_DIGITS[style], CHINESE_UNITS[style]
+    if not value:
+        return digits[0]
+    if not 0 < value < 10**16:
+        raise ValueError("counted are numbers from 0 to 10 ** 16")
+    shown = str(value)
+    shown = shown.zfill(-(-len(shown) // 4) * 4)
+    out, gap = "", False
+    for a in range(0, len(shown), 4):
+        group = shown[a : a + 4]
+        for place, digit in enumerate(group):
+            if digit == "0":
+                gap = bool(out)
+                continue
+            out += (digits[0] if gap else "") + digits[int(digit)] + (units[2 - place] if place < 3 else "")
+            gap = False
+        if group.strip("0"):
+            out += CHINESE_GROUPS[(len(shown) - a) // 4 - 1]
+            gap = False if group[3] != "0" else gap and False
+    return out
+
+
+def chinese_value(raw: str, style: int) -> str:
+    """A number as `General` with a Chinese number style shows it; a fraction digit by digit, a sign in front."""
+    value = Decimal(raw)
+    size = abs(value)
+    out = chinese_count(int(size), style)
+    if size != size.to_integral_value():
+        out += "." + format(size, "f").partition(".")[2].rstrip("0").translate(str.maketrans("0123456789", CHINESE_DIGITS[style]))
+    return ("-" if value < 0 else "") + out
+
+
+def formula_bar(raw: str, code: str) -> str | None:
+    """What an editor shows of a number, whatever its format: its plain digits, 15 at most, from 1e-9 to 1e15.
+
+    Null for dates, percentages and formats with letters of their own, whose edit
+    form isn't the number.
+    """
+    try:
+        value = Decimal(raw)
+        section = choose(compile_code(code), value)[0]
+        if not value.is_finite() or not code or section.is_date or any(k == "digit" and t == "%" for k, t in section.tokens):
+            return None
+        if abs(value) >= Decimal("1e15") or 0 < abs(value) < Decimal("1e-9") or len(value.normalize().as_tuple().digits) > 15:
+            return None
+        text = format(value, "f")
+        return "0" if not value else text.rstrip("0").rstrip(".") if "." in text else text
+    except (ArithmeticError, ValueError, IndexError):
+        return None
 MONTHS = "January February March April May June July August September October November December".split()
 DAYS = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split()
 COLORS = {"black": "#000000", "red": "#FF0000", "green": "#00FF00", "blue": "#0000FF", "yellow": "#FFFF00", "magenta": "#FF00FF", "cyan": "#00FFFF", "white": "#FFFFFF"}

@@ -40,3 +40,10 @@ def value_text(text: Column) -> Column:
     """Displayed text after typing: integers lose signs, zeros and separators that don't count, decimals take their shortest form."""
     whole = F.regexp_replace(F.trim(text), "[_\\s]", "")
     return F.when(is_decimal(text), decimal_text(number(text))).when(text.rlike(INTEGER), F.coalesce(whole.try_cast("decimal(38,0)").cast("string"), whole)).otherwise(text)
+
+
+def same_number(text: Column) -> Column:
+    """One text for all spellings of a number, whole or decimal (`7`, `007`, `7.0`), null for other text: what groups are made by."""
+    amount = number(text)
+    whole = (amount == F.floor(amount)) & (F.abs(amount) < 1e15)
+    return F.when(is_decimal(text), F.when(whole, amount.try_cast("decimal(38,0)").cast("string")).otherwise(decimal_text(amount))).when(is_number(text), value_text(text))

@@ -1,7 +1,9 @@
 """The declarative query: where, group and aggregate, select, order, limit over displayed text.
 
-A query is built into one DataFrame plan. Every logical column is displayed
-text with a number beside it where the text is one; nothing is collected.
+A query is built into one DataFrame plan. Every logical column is typed once: a
+text that is a number counts as that number, in conditions, groups, aggregates,
+order and output alike. Columns that Spark has typed already are compared as they
+are, so that conditions on them reach the scan. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -12,8 +14,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DataType, DecimalType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType
 
-from lexigrain.functions.values import decimal_text, is_decimal, number, value_text
+from lexigrain.functions.values import decimal_text, is_decimal, is_number, number, same_number, value_text
 
 OPERATORS = ("eq", "contains", "gt", "lt")
 AGGREGATES = ("sum", "count", "avg", "min", "max")
@@ -86,60 +89,110 @@ def header_keys(labels: Sequence[str]) -> list[str]:
     return out
 
 
-def condition(df: DataFrame, c: Condition, columns: Sequence[str]) -> Column:
-    text = df[resolve(columns, c.column)]
+_WHOLE = (ByteType, ShortType, IntegerType, LongType)
+_REAL = (FloatType, DoubleType)
+
+
+class Typed:
+    """A column with the number and the text that its values stand for."""
+
+    def __init__(self, column: Column, kind: DataType):
+        whole = isinstance(kind, _WHOLE) or isinstance(kind, DecimalType) and not kind.scale
+        self.native = whole or isinstance(kind, _REAL)
+        if whole:
+            self.text, self.number, self.decimal = column.cast("string"), column, F.lit(False)
+            self.group, self.exact, self.numeric = column.cast("string"), column.cast("decimal(38,0)"), column.isNotNull()
+        elif isinstance(kind, _REAL):
+            amount = column.cast("double")
+            self.text, self.number, self.decimal = decimal_text(amount), amount, column.isNotNull()
+            self.group, self.exact, self.numeric = self.text, F.lit(None).cast("decimal(38,0)"), column.isNotNull()
+        else:
+            text = column.cast("string")
+            self.text, self.number, self.decimal = value_text(text), number(text), is_decimal(text)
+            self.group = F.coalesce(same_number(text), text)
+            self.exact = F.when(is_number(text) & ~is_decimal(text), value_text(text).try_cast("decimal(38,0)"))
+            self.numeric = is_number(text)
+        self.column, self.kind = column, kind
+
+    def equals(self, value: object) -> Column:
+        """As their texts are equal; an absent value's is ``None``."""
+        wanted = str(value)
+        if wanted == "None":
+            return self.column.isNull() | (self.text == wanted)
+        if self.native:
+            try:
+                if isinstance(self.kind, _REAL):
+                    return self.column == F.lit(float(wanted)) if repr(float(wanted)) == wanted else F.lit(False)
+                return self.column == F.lit(int(wanted)) if str(int(wanted)) == wanted and abs(int(wanted)) < 1 << 63 else F.lit(False)
+            except ValueError:
+                return F.lit(False)
+        # a text that is no number is itself, so the scan can compare it
+        if isinstance(self.kind, StringType) and not re.fullmatch(r"[\s+\-_.\deE]*", wanted):
+            return self.column == wanted
+        return self.text == wanted
+
+
+def condition(typed: Typed, c: Condition) -> Column:
     if c.op == "eq":
-        return F.coalesce(value_text(text), F.lit("None")) == F.lit(str(c.value))
+        return typed.equals(c.value)
     if c.op == "contains":
-        return F.coalesce(F.lower(text).contains(str(c.value).lower()), F.lit(False))
+        return F.lower(F.coalesce(typed.text, F.lit("None"))).contains(str(c.value).lower())
     try:
         bound = float(str(c.value))
     except ValueError:
         return F.lit(False)
-    amount = number(text)
-    return F.coalesce(amount > bound if c.op == "gt" else amount < bound, F.lit(False))
+    return typed.number > bound if c.op == "gt" else typed.number < bound
 
 
-def _aggregate(a: Aggregate, text: Column | None) -> Column:
-    if a.op == "count":
+def _aggregate(a: Aggregate, typed: Typed | None) -> Column:
+    if a.op == "count" or typed is None:
         return F.count(F.lit(1)).cast("string")
-    amount, decimal = number(text), F.max(is_decimal(text).cast("int"))
+    amount = typed.number.cast("double")
     if a.op == "avg":
-        return decimal_text(F.coalesce(F.round(F.avg(amount), 4), F.lit(0.0)))
-    total = {"sum": F.sum, "min": F.min, "max": F.max}[a.op](amount)
-    return F.when(decimal == 1, decimal_text(total)).otherwise(total.cast("decimal(38,0)").cast("string"))
+        return F.coalesce(decimal_text(F.round(F.avg(amount), 4)), F.lit("0"))
+    if a.op == "sum":
+        return F.when(F.max(typed.decimal.cast("int")) == 1, decimal_text(F.sum(amount))).otherwise(F.try_sum(typed.exact).cast("string"))
+    # the least or largest value as it is typed itself; of equal ones the first
+    place = F.when(typed.numeric, F.struct(amount, F.coalesce(typed.exact, amount.try_cast("decimal(38,0)")), F.col("__row") if a.op == "min" else -F.col("__row")))
+    return F.min_by(typed.text, place) if a.op == "min" else F.max_by(typed.text, place)
 
 
-def order_keys(text: Column, descending: bool) -> list[Column]:
+def order_keys(typed: Typed, descending: bool) -> list[Column]:
     """Numbers before text, numbers by size, text by code point; absent counts as empty text."""
-    filled = F.coalesce(text, F.lit(""))
-    keys = [number(filled).isNull().cast("int"), number(filled), F.when(number(filled).isNull(), filled)]
+    keys = [typed.number.isNull().cast("int"), typed.number, F.when(typed.number.isNull(), F.coalesce(typed.text, F.lit("")))]
     return [k.desc_nulls_last() if descending else k.asc_nulls_first() for k in keys]
 
 
 def run(df: DataFrame, query: Query, row: str | None = None) -> DataFrame:
-    """The query over the text of ``df``'s columns, all results as text.
+    """The query over ``df``'s columns, all results as text.
 
     ``row`` names the column that gives source order: ties and groups come in
-    it; without it a plain monotonic number is used. Absent stays null, but a
-    group's absent key is empty. ValueError for unknown operators and columns.
+    it; without it rows count in the order in which Spark reads them, which is
+    the source's only where one task reads a file from its beginning. Absent
+    stays null, but a group's absent key is empty. Spellings of one number are one
+    group, shown as in its first row. ValueError for unknown operators and columns.
     """
     columns = [c for c in df.columns if c != row]
     query.validate(columns)
-    at = F.col(row) if row else F.monotonically_increasing_id()
-    texts = df.select(*(F.col(c).cast("string").alias(c) for c in columns), at.alias("__row"))
+    at = F.col(row).cast("long") if row else F.monotonically_increasing_id()
+    source = df.select(*columns, at.alias("__row"))
+    kinds = {f.name: f.dataType for f in source.schema.fields}
+    typed = lambda frame, name: Typed(frame[name], kinds[name])
     for c in query.where:
-        texts = texts.where(condition(texts, c, columns))
+        source = source.where(condition(typed(source, resolve(columns, c.column)), c))
     if query.group_by and query.aggregates:
-        keys = [resolve(columns, g) for g in query.group_by]
-        grouped = texts.groupBy(*(F.coalesce(texts[k], F.lit("")).alias(k) for k in keys))
-        made = [_aggregate(a, texts[resolve(columns, a.column)] if a.column != "*" else None).alias(a.name) for a in query.aggregates]
-        texts = grouped.agg(*made, F.min("__row").alias("__row"))
+        keys = list(dict.fromkeys(resolve(columns, g) for g in query.group_by))
+        grouped = source.groupBy(*(F.coalesce(typed(source, k).group, F.lit("")).alias(f"__g{n}") for n, k in enumerate(keys)))
+        shown = [F.coalesce(F.min_by(typed(source, k).text, F.col("__row")), F.lit("")).alias(k) for k in keys]
+        made = [_aggregate(a, typed(source, resolve(columns, a.column)) if a.column != "*" else None).alias(a.name) for a in query.aggregates]
+        found = grouped.agg(*shown, *made, F.min("__row").alias("__row"))
         columns = [*keys, *(a.name for a in query.aggregates)]
+        kinds = dict.fromkeys(columns, StringType())
+        source = found.select(*columns, "__row")
     chosen = [resolve(columns, s) for s in query.select] or columns
-    orders = [k for name, down in query.order_by for k in order_keys(texts[resolve(columns, name)], down)]
+    orders = [k for name, down in query.order_by for k in order_keys(typed(source, resolve(columns, name)), down)]
     if query.order_by or query.limit and query.limit > 0:
-        texts = texts.orderBy(*orders, "__row")
+        source = source.orderBy(*orders, "__row")
     if query.limit and query.limit > 0:
-        texts = texts.limit(query.limit)
-    return texts.select(*dict.fromkeys(chosen))
+        source = source.limit(query.limit)
+    return source.select(*(typed(source, c).text.alias(c) for c in dict.fromkeys(chosen)))

@@ -7,7 +7,10 @@ by the tasks that read them; a file that can't be parsed gives a row of the
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lexigrain.sources import figures
+from lexigrain.sources import catalogs, emf, figures
 from lexigrain.sources.legacy import BinaryWorkbook
 from lexigrain.sources.package import Package, PackageError
 from lexigrain.sources.workbooks import Workbook
@@ -33,6 +36,12 @@ def _links(p: Package) -> Iterator[dict]:
     return ({"source_part": r.source_part, "id": r.id, "type": r.type, "target": r.target, "external": r.external, "resolved_target": r.resolved} for r in p.all_links())
 
 
+def _parts(p: Package) -> Iterator[dict]:
+    for e in p.entries:
+        data = p.read(e.filename)
+        yield {"name": e.filename, "size": len(data), "sha256": hashlib.sha256(data).hexdigest(), "content": data}
+
+
 def _cells(p: Package) -> Iterator[dict]:
     book = Workbook(p)
     for sheet in book.sheets:
@@ -40,6 +49,9 @@ def _cells(p: Package) -> Iterator[dict]:
             yield from book.cells(sheet)
 
 
+#: What a damaged file can make a parser raise; it is told as a warning and never ends a job.
+UNREADABLE = (PackageError, ValueError, AttributeError, struct.error, LookupError, TypeError, OverflowError, RecursionError, ArithmeticError, zlib.error, EOFError)
+
 #: Each entity's suffix (empty: any package), columns after doc_id, and rows.
 ENTITIES: dict[str, tuple[str, str, Rows]] = {
     "package_entries": ("", "name string, compressed long, uncompressed long, crc long", _entries),
@@ -48,8 +60,21 @@ ENTITIES: dict[str, tuple[str, str, Rows]] = {
     "diagram_nodes": ("", "part string, node int, kind string, text string", figures.diagram_nodes),
     "diagram_links": ("", "part string, kind string, from_node int, to_node int", figures.diagram_links),
     "xlsx_sheets": ("xlsx", "ord int, name string, state string, part string, kind string", lambda p: iter(Workbook(p).sheets)),
-    "xlsx_cells": ("xlsx", "sheet string, row int, col int, ref string, text string, raw string, type string, formula string, style int, rowspan int, colspan int, shadow boolean, hyperlink string, comment string", _cells),
+    "xlsx_cells": ("xlsx", "sheet string, row int, col int, ref string, text string, raw string, type string, formula string, formula_type string, formula_range string, style int, rowspan int, colspan int, shadow boolean, hyperlink string, comment string, comment_author string, cm int, vm int, blank boolean, row_hidden boolean, outline int", _cells),
     "xlsx_tables": ("xlsx", "id string, sheet string, name string, ref string, columns array<string>", lambda p: Workbook(p).tables()),
+    "content_types": ("", "name string, content_type string, declared string", catalogs.content_types),
+    "emf_texts": ("", "part string, ord int, text string", emf.texts),
+    "parts": ("", "name string, size long, sha256 string, content binary", _parts),
+    "xlsx_ranges": ("xlsx", "sheet string, kind string, ref string, top int, left int, bottom int, right int, attrs map<string,string>", catalogs.ranges),
+    "xlsx_rules": ("xlsx", "ord int, sheet string, kind string, source string, ext_id string, ranges array<string>, formulas array<string>, unparsed boolean, attrs map<string,string>", catalogs.rules),
+    "xlsx_styles": ("xlsx", "kind string, style int, code string, look map<string,string>, locked boolean, hidden boolean, control string", catalogs.styles),
+    "xlsx_pivot_caches": ("xlsx", "id string, cache_id string, ambiguous boolean, missing boolean, source_sheet string, source_ref string, fields array<string>, records long", catalogs.pivot_caches),
+    "xlsx_pivots": ("xlsx", "id string, sheet string, name string, cache_id string, ref string, rows array<int>, columns array<int>, pages array<int>, data array<struct<name:string,field:int,function:string>>", catalogs.pivots),
+    "xlsx_slicers": ("xlsx", "kind string, name string, source string, cache_id string, tables array<string>", catalogs.slicers),
+    "xlsx_drawings": ("xlsx", "sheet string, ord int, kind string, object_id string, name string, alt string, text string, target string, group_id string, from_id string, to_id string, top int, left int, bottom int, right int", catalogs.drawings),
+    "xlsx_threads": ("xlsx", "sheet string, ord int, ref string, raw_id string, parent_raw_id string, person_id string, author string, date string, status string, mentions array<string>, text string", catalogs.threads),
+    "xlsx_rich_values": ("xlsx", "vm int, kind string, display string, alt string, fallback string, image_part string, image_url string, fields map<string,string>", catalogs.rich_values),
+    "xlsx_external_links": ("xlsx", "n int, part string, target string, sheets array<string>", catalogs.external_links),
     "xlsx_names": ("xlsx", "name string, refers_to string, scope string", lambda p: (dict(zip(("name", "refers_to", "scope"), n)) for n in Workbook(p).names)),
     "xls_sheets": ("xls", "ord int, name string, state string, kind string", lambda d: ({k: s[k] for k in ("ord", "name", "state", "kind")} for s in BinaryWorkbook(d).sheets)),
     "xls_cells": ("xls", "sheet string, row int, col int, ref string, text string, raw string, type string", lambda d: BinaryWorkbook(d).cells()),
@@ -74,7 +99,7 @@ def parse_files(files: DataFrame, entity: str) -> DataFrame:
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if suffix and not path.lower().endswith("." + suffix):
                     continue
-                found = []
+                lost = None
                 try:
                     if path.lower().endswith(".xls"):
                         content = data or b""
@@ -86,11 +111,13 @@ def parse_files(files: DataFrame, entity: str) -> DataFrame:
                         content = Package(data or b"")
                         if entity == "warnings":
                             content.main_part()
-                    found = [{"doc_id": path, **r} for r in rows(content)]
-                except (PackageError, ValueError, AttributeError, struct.error, IndexError) as e:
-                    found = [{"doc_id": path, "message": str(e)}] if entity == "warnings" else []
-                for a in range(0, len(found), 5000):
-                    yield pa.RecordBatch.from_pylist(found[a : a + 5000], schema=arrow)
+                    made = ({"doc_id": path, **r} for r in rows(content))
+                    while some := list(itertools.islice(made, 5000)):
+                        yield pa.RecordBatch.from_pylist(some, schema=arrow)
+                except UNREADABLE as e:
+                    lost = str(e)
+                if lost is not None and entity == "warnings":
+                    yield pa.RecordBatch.from_pylist([{"doc_id": path, "message": lost}], schema=arrow)
 
     return files.select("path", "content").mapInArrow(run, schema)
 

@@ -37,7 +37,7 @@ def test_groups(sales):
 def test_groups_without_numbers(spark):
     df = spark.createDataFrame([(1, "a", "x"), (2, None, "1.50"), (3, "a", None)], "at long, k string, v string")
     found = run(df, Query(group_by=["k"], aggregates=[Aggregate("avg", "v"), Aggregate("sum", "v"), Aggregate("count", "*", "n")]), "at")
-    assert sorted(values(found)) == [("", "1.5", "1.5", "1"), ("a", "0.0", None, "2")]
+    assert sorted(values(found)) == [("", "1.5", "1.5", "1"), ("a", "0", None, "2")]
 
 
 def test_numbers_before_text(spark):
@@ -78,3 +78,25 @@ def test_texts_of_values(spark):
     numbers = [1e16, 123456.789, 1e7, 0.1, -2.5e-7, 0.0]
     df = spark.createDataFrame([(v,) for v in numbers], "v double")
     assert [r[0] for r in df.select(decimal_text(df["v"])).collect()] == [repr(v) for v in numbers]
+
+
+def test_spellings_of_a_number_are_one_group(spark):
+    df = spark.createDataFrame([(1, "007", "9007199254740993"), (2, "7.0", "1"), (3, "7", None), (4, "7.5", "2"), (5, "x", "1.50"), (6, None, "3")], "at long, k string, v string")
+    found = run(df, Query(group_by=["k"], aggregates=[Aggregate("sum", "v"), Aggregate("min", "v"), Aggregate("count", "*", "n")]), "at")
+    assert sorted(values(found)) == [("", "3", "3", "1"), ("7", "9007199254740994", "1", "3"), ("7.5", "2", "2", "1"), ("x", "1.5", "1.5", "1")]
+    assert values(run(df, Query(where=[Condition("v", "contains", "50")]), "at")) == []
+    assert values(run(df, Query(where=[Condition("v", "eq", "1.5")]), "at")) == [("x", "1.5")]
+    assert values(run(df, Query(where=[Condition("v", "contains", "none")], select=["k"]), "at")) == [("7",)]
+    assert values(run(df, Query(where=[Condition("k", "eq", "None")], select=["v"]), "at")) == [("3",)]
+
+
+def test_typed_columns_are_compared_in_the_scan(spark, tmp_path):
+    spark.range(100).selectExpr("id", "cast(id as string) as t", "id / 4 as d", "'w' || id as w").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    q = Query(where=[Condition("id", "gt", 3), Condition("w", "eq", "w8"), Condition("d", "lt", "9")])
+    found = run(df, q)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert all(x in plan.split("PushedFilters")[1] for x in ("GreaterThan(id,3", "EqualTo(w,w8)", "LessThan(d,9.0)"))
+    assert values(found) == [("8", "8", "2.0", "w8")]
+    assert values(run(df, Query(where=[Condition("id", "eq", "8.0")]))) == []
+    assert values(run(df, Query(group_by=["d"], aggregates=[Aggregate("max", "id")], where=[Condition("id", "lt", 1)]))) == [("0.0", "0")]
