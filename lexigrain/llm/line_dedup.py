@@ -115,7 +115,7 @@ class Lines:
             h = mix(self.hashes(self.starts, self.sizes) + self.sizes.astype(np.uint64) * _U(_BASE))
         return (h & _U(MASK - 1)).view(np.int64)
 
-    def keys(self, settings: Settings) -> Iterator[tuple[np.ndarray, np.ndarray, bool, np.ndarray, np.ndarray, np.ndarray]]:
+    def keys(self, settings: Settings) -> Iterator[tuple[np.ndarray, ...]]:
         """(lines, keys, own, places behind the segments, edits left, least length left) of segments of the lines themselves (own) and of substrings that may be a shorter line's segment."""
         low, edits = settings.cells
         home = settings.cell_of(self.sizes)
@@ -125,18 +125,34 @@ class Lines:
             if back:  # only lines that a line of the cell below can be near to
                 ready = ready[self.sizes[ready] - edits[cell[ready]] < low[cell[ready] + 1]]
             for t in np.unique(edits[cell[ready]]).tolist():
-                some = ready[edits[cell[ready]] == t]
-                own_cell = cell[some]
-                length = low[own_cell] // (t + 1)
-                for i in range(t + 1):
-                    for shift in range(-min(i, t - i), i + 1):
-                        start = i * length + shift
-                        fine = np.flatnonzero((start >= 0) & (start + length <= self.sizes[some]))
-                        at, begin, size = some[fine], start[fine], length[fine]
-                        with np.errstate(over="ignore"):
-                            key = mix(self.hashes(self.starts[at] + begin, size) + own_cell[fine].astype(np.uint64) * _U(0x8EBC6AF09C88C6E3) + _U(i + 1) * _U(0x589965CC75374CC3))
-                        left = low[own_cell[fine]] - (i + 1) * size
-                        yield at, key.view(np.int64), not back and not shift, begin + size, np.full(len(at), t - i), left
+                number, shift = _places(t)
+                every = ready[edits[cell[ready]] == t]
+                for a in range(0, len(every), max(1, (1 << 20) // len(number))):
+                    some = every[a : a + max(1, (1 << 20) // len(number))]
+                    length = low[cell[some]] // (t + 1)
+                    start = length[:, None] * number + shift
+                    row, column = np.nonzero((start >= 0) & (start + length[:, None] <= self.sizes[some][:, None]))
+                    at, begin, size, i = some[row], start[row, column], length[row], number[column]
+                    with np.errstate(over="ignore"):
+                        key = mix(self.hashes(self.starts[at] + begin, size) + cell[at].astype(np.uint64) * _U(0x8EBC6AF09C88C6E3) + (i + 1).astype(np.uint64) * _U(0x589965CC75374CC3))
+                    yield at, key.view(np.int64), (shift[column] == 0) & (not back), begin + size, t - i, low[cell[at]] - (i + 1) * size
+
+
+@functools.lru_cache(maxsize=64)
+def _places(edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, shift) of every substring of a line that may be a shorter line's segment."""
+    found = [(i, shift) for i in range(edits + 1) for shift in range(-min(i, edits - i), i + 1)]
+    return tuple(np.array(c, np.int64) for c in zip(*found))
+
+
+def by_key(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both sorted by key, and by value where keys are equal."""
+    order = np.argsort(key)
+    key, value = key[order], value[order]
+    same = key[1:] == key[:-1]
+    several = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    value[several] = value[several][np.lexsort((value[several], key[several]))]
+    return key, value
 
 
 def refine(lines: Lines, at: np.ndarray, key: np.ndarray, own: np.ndarray, place: np.ndarray, edits: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -354,8 +370,7 @@ def _shared_keys(docs: DataFrame, settings: Settings, chars: int) -> DataFrame:
             key, value = np.concatenate(keys), np.concatenate(values)
             keys.clear(), values.clear()
             held = 0
-            order = np.lexsort((value, key))
-            key, value = key[order], value[order]
+            key, value = by_key(key, value)
             fresh = np.append(True, (key[1:] != key[:-1]) | (value[1:] != value[:-1]))
             key, value = key[fresh], value[fresh]
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -403,8 +418,7 @@ def _shared_keys(docs: DataFrame, settings: Settings, chars: int) -> DataFrame:
                     known = []
         if keys:
             key, value = np.concatenate(keys), np.concatenate(values)
-            order = np.lexsort((value, key))
-            key, value = key[order], value[order]
+            key, value = by_key(key, value)
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             sizes = np.diff(np.append(starts, len(key)))
             own = np.add.reduceat(value & 1, starts) > 0
@@ -468,7 +482,7 @@ def _refined(entries: DataFrame, texts: DataFrame, settings: Settings, first: bo
                         hit = np.flatnonzero(np.isin(keys, hot))
                         hit = hit[[pair in asked for pair in zip(found[hit].tolist(), keys[hit].tolist())]] if len(hit) else hit
                         if len(hit):
-                            parts.append((found[hit], keys[hit], np.full(len(hit), own), place[hit], edits[hit], left[hit]))
+                            parts.append((found[hit], keys[hit], own[hit], place[hit], edits[hit], left[hit]))
                     if not parts:
                         continue
                     given = tuple(np.concatenate(c) for c in zip(*parts))
@@ -485,6 +499,41 @@ def _refined(entries: DataFrame, texts: DataFrame, settings: Settings, first: bo
     return held.mapInArrow(run, ENTRIES).distinct()
 
 
+def _sparse(entries: DataFrame, marks: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """The hot keys (``marks``: key, n) of whose lines, by a sample of about SAMPLED of each, few are near each other.
+
+    Only these are worth refining: where most lines are near each other, their
+    links have to be counted pair by pair in any case. What is found doesn't
+    depend on it.
+    """
+    few = F.pmod(F.xxhash64("line", "key"), F.greatest(F.lit(1), (F.col("n") / SAMPLED).cast("long"))) == 0
+    some = attach(entries.select("key", "line"), marks, "key").where(few).select("key", "line").join(texts, "line").select("key", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(key: int, lines: list[str]) -> list[int]:
+            codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in lines[: 2 * SAMPLED]]
+            x, y = np.triu_indices(len(codes), 1)
+            sizes = np.array(list(map(len, codes)))
+            edits = settings.edits_of(np.minimum(sizes[x], sizes[y])) if len(x) else x
+            return [] if len(x) and near_pairs(codes, x, y, edits).mean() >= DENSE else [key]
+
+        at, held, out = None, [], []
+        for b in batches:
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if key != at:
+                    out += told(at, held) if held else []
+                    at, held = key, []
+                held.append(text)
+        out += told(at, held) if held else []
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["key"])
+
+    return some.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long")
+
+
+#: Lines of a hot key looked at to see whether refining helps, and the share of near pairs from which it doesn't.
+SAMPLED, DENSE = 24, 0.1
+
+
 def _leaves(shared: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     """(key, line, n): what is checked together, n the lines of the key. Keys of more than ``block`` lines are refined as long as edits are left."""
     count = [F.count("*").alias("n"), F.sum(F.xxhash64("line") % (1 << 40)).alias("s"), F.bit_xor(F.xxhash64("line", F.lit(1))).alias("x")]
@@ -492,22 +541,19 @@ def _leaves(shared: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame
     hot = cut_small(marks.where(F.col("n") > settings.block).select("key"))
     if not settings.rounds or not hot.limit(1).count():
         return _one_of_equal(shared, marks)
-    leaves, told = semi(shared, hot, "key", "left_anti"), marks.where(F.col("n") <= settings.block)
-    entries = cut_small(attach(shared, hot, "key"))
-    lines = cut_small(entries.select("line").distinct())
-    texts = cut(semi(_line_texts(docs, settings), lines, "line").dropDuplicates(["line"]))
-    for number in range(settings.rounds):
-        entries = cut_small(_refined(entries, texts, settings, number == 0))
+    texts = cut(semi(_line_texts(docs, settings), cut_small(attach(shared, hot, "key").select("line").distinct()), "line").dropDuplicates(["line"]))
+    entries, pairs, asked = shared, shared, marks.where(F.col("n") > settings.block).select("key", "n")
+    leaves, told = None, None
+    for number in range(settings.rounds + 1):
+        again = cut_small(_sparse(pairs, asked, texts, settings)) if number < settings.rounds else hot.limit(0)
+        kept, final = semi(pairs.select("key", "line"), again, "key", "left_anti"), semi(marks.select("key", "n", "s", "x"), again, "key", "left_anti")
+        leaves, told = (kept, final) if leaves is None else (leaves.union(kept), told.union(final))
+        if number == settings.rounds or not again.limit(1).count():
+            break
+        entries = cut_small(_refined(attach(entries, again, "key"), texts, settings, number == 0))
         pairs = cut_small(entries.groupBy("key", "line").agg(F.max("own").alias("own"), F.max("edits").alias("edits")))
         marks = cut_small(pairs.groupBy("key").agg(*count, F.max("own").alias("own"), F.max("edits").alias("edits")).where("own and n > 1"))
-        last = number == settings.rounds - 1
-        again = (F.col("n") > settings.block) & (F.col("edits") > 0) & F.lit(not last)
-        leaves = leaves.union(pairs.select("key", "line"))
-        told = told.union(marks.where(~again).select("key", "n", "s", "x"))
-        hot = cut_small(marks.where(again).select("key"))
-        if last or not hot.limit(1).count():
-            break
-        entries = attach(entries, hot, "key")
+        asked = cut_small(marks.where((F.col("n") > settings.block) & (F.col("edits") > 0)).select("key", "n"))
     return _one_of_equal(leaves, cut_small(told))
 
 
