@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lexigrain.sources import catalogs, emf, figures
+from lexigrain.sources import catalogs, deck_parts, emf, figures, word_parts
 from lexigrain.sources.legacy import BinaryWorkbook
 from lexigrain.sources.package import Package, PackageError
 from lexigrain.sources.workbooks import Workbook
@@ -78,9 +78,24 @@ ENTITIES: dict[str, tuple[str, str, Rows]] = {
     "xlsx_names": ("xlsx", "name string, refers_to string, scope string", lambda p: (dict(zip(("name", "refers_to", "scope"), n)) for n in Workbook(p).names)),
     "xls_sheets": ("xls", "ord int, name string, state string, kind string", lambda d: ({k: s[k] for k in ("ord", "name", "state", "kind")} for s in BinaryWorkbook(d).sheets)),
     "xls_cells": ("xls", "sheet string, row int, col int, ref string, text string, raw string, type string", lambda d: BinaryWorkbook(d).cells()),
-    "docx_blocks": ("docx", "ord int, type string, level int, style_id string, text string, label string, list_level int, page int, page_end int, table_id string", lambda p: Writing(p).blocks()),
+    "docx_blocks": ("docx", "ord int, type string, level int, style_id string, text string, label string, list_level int, page int, page_end int, table_id string, section int", lambda p: Writing(p).blocks()),
     "docx_table_cells": ("docx", "table_id string, row int, col int, row_span int, col_span int, v_merge string, is_header boolean, text string", lambda p: Writing(p).table_cells()),
     "docx_notes": ("docx", "kind string, id string, text string, author string, date string", lambda p: Writing(p).notes()),
+    "docx_runs": ("docx", "paragraph int, ord int, text string, format map<string,string>, link map<string,string>, ruby string, revision string, author string", word_parts.runs),
+    "docx_styles": ("docx", "style_id string, type string, name string, base string, default boolean, outline int, num_id string, format map<string,string>", word_parts.styles),
+    "docx_controls": ("docx", "ord int, kind string, label string, lock string, options array<string>, checked boolean, text string", word_parts.controls),
+    "docx_bookmarks": ("docx", "paragraph int, id string, name string", word_parts.bookmarks),
+    "docx_objects": ("docx", "paragraph int, ord int, kind string, rel_id string, target string, external string, name string, alt string, floating boolean, program string, text string", word_parts.objects),
+    "docx_sections": ("docx", "section int, type string, width int, height int", word_parts.sections),
+    "pptx_paragraphs": ("pptx", "n int, shape int, ord int, level int, text string, label string", deck_parts.paragraphs),
+    "pptx_runs": ("pptx", "n int, shape int, paragraph int, ord int, text string, format map<string,string>, href string", deck_parts.runs),
+    "pptx_table_cells": ("pptx", "n int, shape int, row int, col int, text string, row_span int, col_span int, h_merge boolean, v_merge boolean", deck_parts.table_cells),
+    "pptx_comments": ("pptx", "ord int, n int, id string, parent_id string, author string, date string, status string, shape_id string, text string", deck_parts.comments),
+    "pptx_sections": ("pptx", "ord int, name string, slide_id string, n int", deck_parts.sections),
+    "pptx_links": ("pptx", "n int, shape_id string, action string, target string, external boolean", deck_parts.links),
+    "pptx_objects": ("pptx", "n int, ord int, shape_id string, kind string, group_path array<struct<x:long,y:long,w:long,h:long,cx:long,cy:long,cw:long,ch:long>>, x long, y long, w long, h long, placeholder string, placeholder_idx string, alt string, target string, from_id string, to_id string", deck_parts.objects),
+    "pptx_placeholders": ("pptx", "n int, layer string, type string, idx string, x long, y long, w long, h long", deck_parts.placeholders),
+    "pptx_themes": ("pptx", "n int, slot string, color string", deck_parts.themes),
     "pptx_slides": ("pptx", "n int, hidden boolean, part string, notes string", lambda p: Deck(p).slides()),
     "pptx_shapes": ("pptx", "n int, ord int, shape_id string, name string, type string, text string, x long, y long, w long, h long", lambda p: Deck(p).shapes()),
 }

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 from lexigrain.functions.equations import MATH, to_latex
 from lexigrain.functions.numbering import auto_number, fill_template
+from lexigrain.functions.text_marks import symbol
 from lexigrain.sources.package import Package, R
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -15,6 +16,32 @@ A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 
 
+# Prefixes of extensions whose content is read, so that their branch of a compatibility block counts.
+KNOWN_PREFIXES = frozenset("wps wpg wpc wpi w14 w15 w16 w16se a14 p14 p15 x14 x15 cx cx1 m a p w r v".split())
+MC = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
+
+
+def branch(node: ET.Element) -> ET.Element | None:
+    """Of a compatibility block the first choice whose requirements are all known, else the fallback."""
+    for choice in node.findall(MC + "Choice"):
+        needs = choice.get("Requires", "").split()
+        if needs and all(n in KNOWN_PREFIXES for n in needs):
+            return choice
+    return node.find(MC + "Fallback")
+
+
+def below(node: ET.Element) -> Iterator[ET.Element]:
+    """All nodes below one, the branches of compatibility blocks chosen."""
+    for child in node:
+        if child.tag == MC + "AlternateContent":
+            chosen = branch(child)
+            if chosen is not None:
+                yield from below(chosen)
+            continue
+        yield child
+        yield from below(child)
+
+
 def _val(node: ET.Element | None, path: str, default: str | None = None) -> str | None:
     found = node.find("/".join(W + p for p in path.split("/"))) if node is not None else None
     return default if found is None else found.get(W + "val", default)
@@ -74,7 +101,10 @@ class Writing:
         for child in node:
             if child.tag in self.dropped:
                 continue
-            if child.tag in (W + "t", W + "delText"):
+            if child.tag == MC + "AlternateContent":
+                if (chosen := branch(child)) is not None:
+                    yield from self.text(chosen)
+            elif child.tag in (W + "t", W + "delText"):
                 yield child.text or ""
             elif child.tag == W + "tab":
                 yield "\t"
@@ -84,15 +114,47 @@ class Writing:
                 yield "\f"
             elif child.tag == W + "noBreakHyphen":
                 yield "-"
+            elif child.tag == W + "sym":
+                yield symbol(child.get(W + "font", ""), int(child.get(W + "char", "0"), 16))
+            elif child.tag == W + "ruby":
+                base = child.find(W + "rubyBase")
+                yield from self.text(base) if base is not None else ()
             elif child.tag == MATH + "oMath":
                 yield f"${to_latex(ET.tostring(child, 'unicode'))}$"
             elif child.tag == W + "footnoteReference":
                 yield f"[fn{child.get(W + 'id')}]"
             elif child.tag == W + "endnoteReference":
                 yield f"[en{child.get(W + 'id')}]"
-            elif child.tag not in (W + "pPr", W + "rPr", W + "instrText", W + "tbl"):
+            elif child.tag not in (W + "pPr", W + "rPr", W + "instrText", W + "tbl", W + "txbxContent", W + "sdtPr"):
                 yield from self.text(child)
 
+    def flow(self, node: ET.Element) -> Iterator[ET.Element]:
+        """Paragraphs and tables below a story, through content controls, custom markup, revisions and compatibility blocks."""
+        for child in node:
+            if child.tag in self.dropped:
+                continue
+            if child.tag in (W + "p", W + "tbl"):
+                yield child
+            elif child.tag == MC + "AlternateContent":
+                if (chosen := branch(child)) is not None:
+                    yield from self.flow(chosen)
+            elif child.tag in (W + "sdt", W + "sdtContent", W + "customXml", W + "smartTag", W + "ins", W + "moveTo", W + "del", W + "moveFrom"):
+                yield from self.flow(child)
+
+    def story(self, node: ET.Element) -> str:
+        """The text of a container's paragraphs and tables, nested ones too, a line for each paragraph or row."""
+        lines = []
+        for block in self.flow(node):
+            if block.tag == W + "p":
+                lines.append("".join(self.text(block)).replace("\f", ""))
+            else:
+                lines += ["\t".join(c["text"] for c in row) for row in self._rows(block)]
+        return "\n".join(lines)
+
+    def tables(self) -> Iterator[ET.Element]:
+        body = self.package.xml(self.part).find(W + "body")
+        yield from (b for b in self.flow(body) if b.tag == W + "tbl") if body is not None else ()
+
     def _label(self, num: str, level: int) -> str:
         levels = self.levels.get(num, {})
         if level not in levels:
@@ -117,9 +179,8 @@ class Writing:
     def blocks(self) -> Iterator[dict]:
         """Paragraphs, headings and tables of the body in order, with the page that each starts and ends on."""
         body, page, n, table = self.package.xml(self.part).find(W + "body"), 1, 0, 0
-        for node in body if body is not None else ():
-            if node.tag == W + "sdt":
-                node = node.find(f"{W}sdtContent/{W}p") if node.find(f"{W}sdtContent/{W}p") is not None else node
+        section = 1
+        for node in self.flow(body) if body is not None else ():
             if node.tag == W + "p":
                 block = self.paragraph(node)
                 if (before := node.find(f"{W}pPr/{W}pageBreakBefore")) is not None and before.get(W + "val", "1") not in ("0", "false"):
@@ -129,30 +190,34 @@ class Writing:
                 page += block["text"].count("\f")
                 block["text"] = block["text"].replace("\f", "")
                 if block["text"].strip():
-                    yield {"ord": n, **block, "page": start, "page_end": page, "table_id": None}
+                    yield {"ord": n, **block, "page": start, "page_end": page, "table_id": None, "section": section}
                     n += 1
+                if (mark := node.find(f"{W}pPr/{W}sectPr")) is not None:
+                    section += 1
+                    # a section that goes on on the same page breaks none
+                    page += _val(mark, "type", "nextPage") != "continuous"
             elif node.tag == W + "tbl":
                 rows = ["\t".join(c["text"] for c in row) for row in self._rows(node)]
-                yield {"ord": n, "type": "table", "level": None, "style_id": None, "text": "\n".join(rows), "label": None, "list_level": None, "page": page, "page_end": page, "table_id": f"table-{table}"}
+                yield {"ord": n, "type": "table", "level": None, "style_id": None, "text": "\n".join(rows), "label": None, "list_level": None, "page": page, "page_end": page, "table_id": f"table-{table}", "section": section}
                 table, n = table + 1, n + 1
 
     def _rows(self, table: ET.Element) -> Iterator[list[dict]]:
-        for r, row in enumerate(table.findall(W + "tr")):
+        found = [x for x in below(table) if x.tag == W + "tr"] if table.find(W + "sdt") is not None else table.findall(W + "tr")
+        for r, row in enumerate(found):
             header = row.find(f"{W}trPr/{W}tblHeader") is not None
             column, cells = int(_val(row.find(W + "trPr"), "gridBefore", "0")), []
-            for c in row.findall(W + "tc"):
+            for c in [x for e in row for x in ([e] if e.tag == W + "tc" else e.findall(f"{W}sdtContent/{W}tc"))]:
                 props = c.find(W + "tcPr")
                 merge = props.find(W + "vMerge") if props is not None else None
                 span = int(_val(props, "gridSpan", "1"))
-                text = "\n".join("".join(self.text(p)).replace("\f", "") for p in c.iter(W + "p"))
+                text = self.story(c)
                 cells.append({"row": r, "col": column, "col_span": span, "row_span": 1, "v_merge": None if merge is None else merge.get(W + "val", "continue"), "is_header": header, "text": text})
                 column += span
             yield cells
 
     def table_cells(self) -> Iterator[dict]:
         """Cells of the body's tables on their grid; cells merged downwards once, with how many rows they span."""
-        body = self.package.xml(self.part).find(W + "body")
-        for t, table in enumerate(body.findall(W + "tbl") if body is not None else ()):
+        for t, table in enumerate(self.tables()):
             open_: dict[int, dict] = {}
             out = []
             for cells in self._rows(table):
@@ -176,7 +241,7 @@ class Writing:
                 for e in root.findall(W + tag) if tag else [root]:
                     if e.get(W + "type") in ("separator", "continuationSeparator"):
                         continue
-                    text = "\n".join("".join(self.text(p)) for p in e.iter(W + "p")).replace("\f", "")
+                    text = self.story(e)
                     yield {"kind": tag or kind, "id": e.get(W + "id") or r.id, "text": text, "author": e.get(W + "author"), "date": e.get(W + "date")}
 
 
