@@ -42,7 +42,7 @@ _LETTER = seeds(1 << 16, 9)
 
 @dataclass(frozen=True)
 class Settings:
-    """``edits``: between linked lines at least; ``per``: a line of ``per * t * t`` characters may have t edits (None: always ``edits``); ``most``: edits at most, 30 at most; ``least_chars``: shorter lines have no links; ``block``: lines of a key checked in one piece, above which a key is refined, ``rounds`` times at most; ``exact_chars``: shorter lines take no part, those from here to ``least_chars`` as exact copies only (None: there are none such)."""
+    """``edits``: between linked lines at least; ``per``: a line of ``per * t * t`` characters may have t edits (None: always ``edits``); ``most``: edits at most, 30 at most; ``least_chars``: shorter lines have no links; ``block``: lines of a key checked in one piece; ``refine``: lines of a key above which it is refined, ``rounds`` times at most (below, finer keys cost more than looking at the pairs); ``exact_chars``: shorter lines take no part, those from here to ``least_chars`` as exact copies only (None: there are none such)."""
 
     edits: int = 2
     least_chars: int = 20
@@ -50,6 +50,7 @@ class Settings:
     exact_chars: int | None = None
     per: int | None = 20
     most: int = 30
+    refine: int = 4096
     rounds: int = 3
 
     @property
@@ -535,14 +536,14 @@ SAMPLED, DENSE = 24, 0.1
 
 
 def _leaves(shared: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
-    """(key, line, n): what is checked together, n the lines of the key. Keys of more than ``block`` lines are refined as long as edits are left."""
+    """(key, line, n): what is checked together, n the lines of the key. Keys of more than ``refine`` lines are refined as long as edits are left."""
     count = [F.count("*").alias("n"), F.sum(F.xxhash64("line") % (1 << 40)).alias("s"), F.bit_xor(F.xxhash64("line", F.lit(1))).alias("x")]
     marks = cut_small(shared.groupBy("key").agg(*count))
-    hot = cut_small(marks.where(F.col("n") > settings.block).select("key"))
+    hot = cut_small(marks.where(F.col("n") > settings.refine).select("key"))
     if not settings.rounds or not hot.limit(1).count():
         return _one_of_equal(shared, marks)
     texts = cut(semi(_line_texts(docs, settings), cut_small(attach(shared, hot, "key").select("line").distinct()), "line").dropDuplicates(["line"]))
-    entries, pairs, asked = shared, shared, marks.where(F.col("n") > settings.block).select("key", "n")
+    entries, pairs, asked = shared, shared, marks.where(F.col("n") > settings.refine).select("key", "n")
     leaves, told = None, None
     for number in range(settings.rounds + 1):
         again = cut_small(_sparse(pairs, asked, texts, settings)) if number < settings.rounds else hot.limit(0)
@@ -553,7 +554,7 @@ def _leaves(shared: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame
         entries = cut_small(_refined(attach(entries, again, "key"), texts, settings, number == 0))
         pairs = cut_small(entries.groupBy("key", "line").agg(F.max("own").alias("own"), F.max("edits").alias("edits")))
         marks = cut_small(pairs.groupBy("key").agg(*count, F.max("own").alias("own"), F.max("edits").alias("edits")).where("own and n > 1"))
-        asked = cut_small(marks.where((F.col("n") > settings.block) & (F.col("edits") > 0)).select("key", "n"))
+        asked = cut_small(marks.where((F.col("n") > settings.refine) & (F.col("edits") > 0)).select("key", "n"))
     return _one_of_equal(leaves, cut_small(told))
 
 

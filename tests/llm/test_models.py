@@ -159,7 +159,7 @@ def test_band_against_the_full_table(edits):
     assert got.tolist() == [distance(a, b) <= edits for a, b in zip(left, right)]
 
 
-@pytest.mark.parametrize("settings", [line_dedup.Settings(), line_dedup.Settings(block=3), line_dedup.Settings(edits=1, least_chars=10), line_dedup.Settings(per=4, block=3), line_dedup.Settings(per=4, block=2, rounds=1), line_dedup.Settings(block=2, rounds=0)])
+@pytest.mark.parametrize("settings", [line_dedup.Settings(), line_dedup.Settings(block=3), line_dedup.Settings(edits=1, least_chars=10), line_dedup.Settings(per=4, block=3, refine=3), line_dedup.Settings(per=4, block=2, refine=2, rounds=1), line_dedup.Settings(block=2, refine=2, rounds=0)])
 def test_lines_against_all_pairs(spark, settings):
     rng = random.Random(8)
     base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([12, 33, 40, 60, 110]))) for _ in range(25)]
