@@ -58,3 +58,105 @@ def recognise(images: DataFrame, provider: Callable[[], Callable[[bytes], OcrRes
     keyed = images.withColumn("ocr_key", F.sha2("content", 256))
     distinct = keyed.where("content is not null").select("ocr_key", "content").dropDuplicates(["ocr_key"])
     return keyed.join(distinct.mapInArrow(run, schema), "ocr_key", "left").select(*images.columns, "ocr_status", "ocr_text", "ocr_confidence")
+
+
+# ---------------------------------------------------------------- providers
+
+
+def tesseract(program: str = "tesseract", languages: str = "eng", timeout: float = 120.0, least: float = 0.6) -> Callable[[], Callable[[bytes], OcrResult]]:
+    """A provider that runs the Tesseract program on each image: text, and word scores from its table. ``least``: mean score under which text is doubtful."""
+
+    def provider() -> Callable[[bytes], OcrResult]:
+        import os
+        import shutil
+        import subprocess
+        import tempfile
+
+        if shutil.which(program) is None:
+            raise FileNotFoundError(program)
+
+        def read(data: bytes) -> OcrResult:
+            with tempfile.TemporaryDirectory() as folder:
+                image = os.path.join(folder, "image." + (image_suffix(data) or "png"))
+                with open(image, "wb") as file:
+                    file.write(data)
+                subprocess.run([program, image, os.path.join(folder, "out"), "-l", languages, "txt", "tsv"], check=True, capture_output=True, timeout=timeout)
+                with open(os.path.join(folder, "out.txt"), encoding="utf-8") as file:
+                    text = file.read().strip()
+                with open(os.path.join(folder, "out.tsv"), encoding="utf-8") as file:
+                    scores = word_scores(file.read())
+            return OcrResult("ok" if text else "empty", text, scores)
+
+        return read
+
+    return provider
+
+
+def word_scores(table: str) -> tuple[tuple[str, float], ...]:
+    """(word, score 0 to 1) of a tab-separated result table; rows without a word or with a score below 0 don't count."""
+    lines = table.splitlines()
+    if not lines:
+        return ()
+    names = lines[0].split("\t")
+    if "conf" not in names or "text" not in names:
+        return ()
+    out = []
+    for line in lines[1:]:
+        parts = line.split("\t")
+        try:
+            score = float(parts[names.index("conf")])
+        except (ValueError, IndexError):
+            continue
+        word = parts[names.index("text")].strip() if len(parts) > names.index("text") else ""
+        if word and score >= 0:
+            out.append((word, score / 100))
+    return tuple(out)
+
+
+def easyocr(languages: list[str]) -> Callable[[], Callable[[bytes], OcrResult]]:
+    """A provider by the EasyOCR library, where it is installed."""
+
+    def provider() -> Callable[[bytes], OcrResult]:
+        import easyocr as library  # optional
+
+        reader = library.Reader(languages, gpu=False)
+
+        def read(data: bytes) -> OcrResult:
+            found = reader.readtext(data)
+            return OcrResult("ok" if found else "empty", "\n".join(t for _, t, _ in found), tuple((t, float(s)) for _, t, s in found))
+
+        return read
+
+    return provider
+
+
+def remote(submit: Callable[[bytes], str], poll: Callable[[str], dict | None], tries: int = 60, pause: float = 2.0) -> Callable[[], Callable[[bytes], OcrResult]]:
+    """A provider by a service: ``submit`` gives a job's id, ``poll`` its result (text, scores) once there is one. After ``tries`` polls the image is an error."""
+
+    def provider() -> Callable[[bytes], OcrResult]:
+        import time
+
+        def read(data: bytes) -> OcrResult:
+            job = submit(data)
+            for _ in range(tries):
+                found = poll(job)
+                if found is not None:
+                    return OcrResult("ok" if found.get("text") else "empty", found.get("text", ""), tuple(found.get("scores", ())))
+                time.sleep(pause)
+            return OcrResult("error", "no result in time")
+
+        return read
+
+    return provider
+
+
+def recognise_shown(objects: DataFrame, parts: DataFrame, provider: Callable[[], Callable[[bytes], OcrResult]], most_bytes: int = 64 << 20) -> DataFrame:
+    """Recognises only the images that a reading shows (doc_id, target), each once; those above ``most_bytes`` are an error, not read.
+
+    The choice is made before the provider is reached, so that no other image is.
+    """
+    shown = objects.where("target is not null").select("doc_id", "target").distinct()
+    held = shown.join(parts.select("doc_id", F.col("name").alias("target"), "size", "content"), ["doc_id", "target"])
+    fine = recognise(held.where(F.col("size") <= most_bytes), provider)
+    large = held.where(F.col("size") > most_bytes).select("*", F.lit("error").alias("ocr_status"), F.lit("the image is too large").alias("ocr_text"), F.lit(None).cast("double").alias("ocr_confidence"))
+    return fine.union(large).drop("content")

@@ -33,3 +33,19 @@ def sessions(events: DataFrame, time: str, key: str, gap: str = "600 seconds", l
     """Sessions of a key that end when nothing has come for ``gap``: the idle expiry of a stateful reader."""
     timed = events.withWatermark(time, late)
     return timed.groupBy(F.session_window(time, gap).alias("s"), key).agg(F.count("*").alias("n")).select(key, F.col("s.start").alias("started"), F.col("s.end").alias("expired"), "n")
+
+
+def merged_by_row(rows: DataFrame, notes: DataFrame, keys: list[str], row: str = "row") -> DataFrame:
+    """Two tables in row order as one: what stands beside a row joins it, what stands alone has a row of its own. Neither has to be in order."""
+    return rows.join(notes, [*keys, row], "full").orderBy(*keys, row)
+
+
+def first_rows(df: DataFrame, order: list[str], wanted: int) -> list:
+    """The first rows in order: as soon as they are there nothing more is asked of the source."""
+    return df.orderBy(*order).limit(wanted).collect()
+
+
+def pieces(df: DataFrame, order: list[str], column: str):
+    """A text column's values in order, one partition at a time; closing the generator stops the reading."""
+    for r in df.select(*order, column).orderBy(*order).toLocalIterator(prefetchPartitions=False):
+        yield r[column]
