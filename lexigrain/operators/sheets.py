@@ -215,13 +215,12 @@ def merged_rules(rules: DataFrame) -> DataFrame:
     """Conditional formats of the core with their extensions by id: what the extension says wins; extensions without a core rule come last."""
     own = rules.where("kind = 'conditional'")
     core, ext = own.where("source = 'core'"), own.where("source = 'x14'")
-    names = ["ord", "ext_id", "ranges", "formulas", "unparsed", "attrs"]
-    c, e = core.select(*SHEET, *(F.col(n).alias("c_" + n) for n in names)), ext.select(*SHEET, *(F.col(n).alias("e_" + n) for n in names))
-    on = (c["doc_id"] == e["doc_id"]) & (c["sheet"] == e["sheet"]) & (c["c_ext_id"] == e["e_ext_id"])
-    both = c.join(e, on, "full")
+    names = ["doc_id", "sheet", "ord", "ext_id", "ranges", "formulas", "unparsed", "attrs"]
+    c, e = core.select(*(F.col(n).alias("c_" + n) for n in names)), ext.select(*(F.col(n).alias("e_" + n) for n in names))
+    both = c.join(e, F.expr("c_doc_id = e_doc_id and c_sheet = e_sheet and c_ext_id = e_ext_id"), "full")
     over = lambda n: F.when(F.size("e_" + n) > 0, F.col("e_" + n)).otherwise(F.col("c_" + n))
     attrs = F.map_concat(F.map_filter(F.coalesce("c_attrs", F.create_map().cast("map<string,string>")), lambda k, _: ~F.array_contains(F.coalesce(F.map_keys("e_attrs"), F.array().cast("array<string>")), k)), F.coalesce("e_attrs", F.create_map().cast("map<string,string>")))
-    return both.select(F.coalesce(c["doc_id"], e["doc_id"]).alias("doc_id"), F.coalesce(c["sheet"], e["sheet"]).alias("sheet"), F.coalesce("c_ord", F.col("e_ord") + 1_000_000).alias("ord"), F.coalesce("c_ext_id", "e_ext_id").alias("ext_id"), F.coalesce(over("ranges"), F.col("c_ranges")).alias("ranges"), F.coalesce(over("formulas"), F.col("c_formulas")).alias("formulas"), attrs.alias("attrs"))
+    return both.select(F.coalesce("c_doc_id", "e_doc_id").alias("doc_id"), F.coalesce("c_sheet", "e_sheet").alias("sheet"), F.coalesce("c_ord", F.col("e_ord") + 1_000_000).alias("ord"), F.coalesce("c_ext_id", "e_ext_id").alias("ext_id"), F.coalesce(over("ranges"), F.col("c_ranges")).alias("ranges"), F.coalesce(over("formulas"), F.col("c_formulas")).alias("formulas"), attrs.alias("attrs"))
 
 
 def pivot_fields(pivots: DataFrame, caches: DataFrame) -> DataFrame:

@@ -34,4 +34,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from lexigrain.plans import queries_functions, queries_relational, queries_selection, queries_text, queries_windows  # noqa: E402, F401
+from lexigrain.plans import queries_functions, queries_office, queries_relational, queries_selection, queries_stories, queries_text, queries_windows  # noqa: E402, F401
