@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,8 +25,17 @@ def number(text: Column) -> Column:
     return F.when(is_number(text), F.regexp_replace(F.trim(text), "[_\\s]", "").try_cast("double"))
 
 
+def named(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once and stands once in the plan, however often ``body`` speaks of it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def decimal_text(value: Column) -> Column:
     """A double as its shortest decimal text: `10000000.0`, `0.0001`, `1e-05`, `1e+16`."""
+    return named(value, _decimal_text)
+
+
+def _decimal_text(value: Column) -> Column:
     short = value.cast("string")
     plain = F.regexp_replace(short.try_cast("decimal(38,20)").cast("string"), "0+$", "")
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # First bytes of image files and the suffixes they stand for.
@@ -29,6 +29,12 @@ class OcrResult:
         return sum(n * s for n, s in fine) / total if total else None
 
 
+def weighted_mean(score: Column, text: Column) -> Column:
+    """An aggregate: the mean of scores, each weighted by its text's characters other than white space; scores outside 0 to 1 don't count."""
+    weight = F.when(score.between(0, 1), F.length(F.regexp_replace(text, r"\s", "")).cast("long"))
+    return F.sum(score * weight).cast("double") / F.sum(weight)
+
+
 def image_suffix(data: bytes) -> str | None:
     return next((suffix for mark, suffix in SIGNATURES if data.startswith(mark)), None)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +9,11 @@ from pyspark.sql import functions as F
 CUT = "…"
 
 
+def _literal(text: str) -> str:
+    """A pattern that matches the text as it is."""
+    return "".join("\\" + c if c.isascii() and not c.isalnum() and not c.isspace() else c for c in text)
+
+
 def excerpt(text: Column, at: Column, size: int, context: int) -> Column:
     """``context`` characters on either side of a match of ``size`` at ``at`` (from 1), the sides marked where cut."""
     begin = F.greatest(at - context, F.lit(1))
@@ -31,10 +34,10 @@ def find_text(units: DataFrame, query: str, ignore_case: bool = False, context:
         raise ValueError("a query has 1 to 4,000 characters")
     if not 0 <= context <= 4000 or offset < 0 or limit is not None and not 1 <= limit <= 200:
         raise ValueError("context is 0 to 4,000, offset not negative, limit 1 to 200")
-    if ignore_case and not query.isascii():
-        at = F.regexp_instr(units["text"], F.lit("(?iu)" + re.escape(query)))
-    elif ignore_case:
-        at = F.instr(F.lower("text"), query.lower())
+    if ignore_case:
+        # places are counted in the text itself: lower case can be longer
+        same = ("(?iu)" if not query.isascii() else "(?i)") + _literal(query)
+        at = F.when(F.col("text").rlike(same), F.length(F.regexp_extract("text", f"(?s)^(.*?){same}", 1)) + 1).otherwise(0)
     else:
         at = F.instr("text", query)
     found = units.withColumn("match_at", at).where("match_at > 0")

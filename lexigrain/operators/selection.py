@@ -57,3 +57,28 @@ def first_of_each(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 def frequent_styles(cells: DataFrame, style: str, least: int = 6) -> DataFrame:
     """Styles that cover at least ``least`` cells, with their number and extent."""
     return cells.groupBy(style).agg(F.count("*").alias("n"), F.min("row").alias("top"), F.max("row").alias("bottom"), F.min("col").alias("left"), F.max("col").alias("right")).where(F.col("n") >= least)
+
+
+def rows_slice(df: DataFrame, order: list[str], first: int, last: int) -> DataFrame:
+    """Rows ``first`` to ``last`` in order, counted from 1; only ``last`` rows are brought together."""
+    few = df.orderBy(*order).limit(last)
+    return few.withColumn("__n", F.row_number().over(Window.orderBy(*order))).where(F.col("__n").between(first, last)).drop("__n")
+
+
+def extent(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The least rectangle around the cells of each group."""
+    return cells.groupBy(*(keys or [])).agg(F.min("row").alias("top"), F.min("col").alias("left"), F.max("row").alias("bottom"), F.max("col").alias("right"))
+
+
+def manifest(tables: dict[str, DataFrame]) -> DataFrame:
+    """How many rows each table has, one row a table."""
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def band_index(place: Column, headers: int = 0, size: int = 1) -> Column:
+    """0 or 1: which of two bands a row (from 0) is in, behind ``headers`` rows."""
+    return (F.floor((place - headers) / size) % 2).cast("long")

@@ -53,8 +53,8 @@ def rectangles(spans_: DataFrame, row: str) -> DataFrame:
 def budget_preview(sizes: DataFrame, order: list[str], size: str, budget: int, keys: list[str] | None = None) -> DataFrame:
     """Whole rows in order for as long as the sizes of the rows before them stay under the budget.
 
-    Without ``keys`` the running sum is taken in two steps: sums of ranges of the
-    order, then within the ranges, so that no task sees all rows.
+    Without ``keys`` only the first ``budget`` rows of a size are brought together
+    for the running sum: each counts 1 at least, so no later one can be shown.
     """
     w = Window.partitionBy(*(keys or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     if keys:

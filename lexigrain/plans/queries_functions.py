@@ -46,9 +46,24 @@ def q_format_full(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", number_format.formatted(raw, '[>=25]"(big "0")";0.0%').alias("shown"))
 
 
-@query("q_numbering_full")
+#: Formats that SQL can write, by how they count: letters in turn, letters as far as they go, digits for digits, letters repeated.
+_FAMILIES = {
+    "cycled": {"aiueoFullWidth": numbering.AIUEO, "aiueo": numbering.AIUEO_HALF, "irohaFullWidth": numbering.IROHA[:-1], "ganada": numbering.GANADA, "chosung": numbering.CHOSUNG},
+    "bounded": {"ideographTraditional": numbering.STEMS, "ideographZodiac": numbering.BRANCHES, "decimalEnclosedCircle": numbering.spans((0x2460, 0x2473)), "decimalEnclosedParen": numbering.spans((0x2474, 0x2487)), "decimalEnclosedFullstop": numbering.spans((0x2488, 0x249B))},
+    "digits": {"decimal": "0123456789", "decimalFullWidth": "０１２３４５６７８９", "hindiNumbers": "०१२३४५६७८९", "thaiNumbers": "๐๑๒๓๔๕๖๗๘๙", "ideographDigital": "〇一二三四五六七八九", "taiwaneseDigital": "○一二三四五六七八九", "koreanDigital": "영일이삼사오육칠팔구"},
+    "repeated": {"lowerLetter": "abcdefghijklmnopqrstuvwxyz", "russianLower": numbering.RUSSIAN, "arabicAlpha": "", "chicago": "*†‡§"},
+}
+_FAMILIES["repeated"].pop("arabicAlpha")
+_FAMILY_SQL = ", ".join(f"('{name}', '{family}', '{letters}')" for family, formats in _FAMILIES.items() for name, letters in formats.items())
+
+
+@query("q_numbering_full", f"""
+with n as (select n_nationkey + 1 as k from nation)
+select k, format, case family when 'cycled' then substr(l, ((k - 1) % length(l) + 1)::integer, 1) when 'bounded' then case when k <= length(l) then substr(l, k::integer, 1) else k::varchar end
+  when 'digits' then translate(k::varchar, '0123456789', l) else repeat(substr(l, ((k - 1) % length(l) + 1)::integer, 1), ((k - 1) // length(l) + 1)::integer) end as label
+from n, (values {_FAMILY_SQL}) f(format, family, l)""")
 def q_numbering_full(spark, sf_dir):
-    names = F.array(*map(F.lit, sorted(numbering.FORMATS)))
+    names = F.array(*(F.lit(name) for formats in _FAMILIES.values() for name in formats))
     n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).alias("k"), F.explode(names).alias("format"))
     return n.withColumn("label", references.string_udf(lambda k, f: numbering.format_number(int(k), f), F.col("k").cast("string"), F.col("format")))
 
@@ -69,8 +84,11 @@ def q_equation_latex(spark, sf_dir):
     return table(spark, sf_dir, "region").select("r_regionkey", references.string_udf(equations.to_latex, xml).alias("latex"))
 
 
-@query("q_color_resolve")
+@query("q_color_resolve", """
+with s as (select r_regionkey * 20 + 12 as share, slot, step from region, (values ('lt1', 'lumMod'), ('bg1', 'shade'), ('dk1', 'lumOff'), ('tx1', 'tint')) v(slot, step))
+select share, slot, step, '#' || repeat(lpad(upper(to_hex(round(255 * case when step = 'tint' then 100 - share else share end / 100.0)::integer)), 2, '0'), 3) as color from s""")
 def q_color_resolve(spark, sf_dir):
-    slots = F.array(*map(F.lit, sorted(colors.THEME)))
-    steps = table(spark, sf_dir, "region").select((F.col("r_regionkey") * 20 + 10).alias("lum"), F.explode(slots).alias("slot"))
-    return steps.withColumn("color", references.string_udf(lambda s, p: colors.resolve("scheme", s, [("lumMod", int(p) / 100)]), F.col("slot"), F.col("lum").cast("string")))
+    cases = F.array(*(F.struct(F.lit(a).alias("slot"), F.lit(b).alias("step")) for a, b in (("lt1", "lumMod"), ("bg1", "shade"), ("dk1", "lumOff"), ("tx1", "tint"))))
+    shares = table(spark, sf_dir, "region").select((F.col("r_regionkey") * 20 + 12).alias("share"), F.explode(cases).alias("c"))
+    color = references.string_udf(lambda slot, step, share: colors.resolve("scheme", slot, [(step, int(share) / 100)]), F.col("c.slot"), F.col("c.step"), F.col("share").cast("string"))
+    return shares.select("share", "c.slot", "c.step", color.alias("color"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexigrain.operators import graphs
+from lexigrain.operators import documents, graphs, ocr, selection, sheets
 from lexigrain.plans.query import Aggregate, Condition, Query, header_keys, run
 from lexigrain.plans.registry import query, table
 
@@ -93,8 +93,8 @@ def q_table_column_aggregate(spark, sf_dir):
 with r as (select s_acctbal, row_number() over (order by s_suppkey) as n from supplier)
 select count(*) as n, cast(sum(cast(s_acctbal as decimal(18,2))) as double) as total, min(s_acctbal) as least, max(s_acctbal) as most from r where n between 3 and 8""")
 def q_rows_slice_aggregate(spark, sf_dir):
-    first = table(spark, sf_dir, "supplier").orderBy("s_suppkey").limit(8)
-    rows = first.withColumn("n", F.row_number().over(Window.orderBy("s_suppkey"))).where("n between 3 and 8")  # 8 rows
+    first, last = selection.rows_spec("3-8")
+    rows = selection.rows_slice(table(spark, sf_dir, "supplier"), ["s_suppkey"], first, last)
     return rows.agg(F.count("*").alias("n"), F.sum(F.col("s_acctbal").cast("decimal(18,2)")).cast("double").alias("total"), F.min("s_acctbal").alias("least"), F.max("s_acctbal").alias("most"))
 
 
@@ -150,13 +150,14 @@ def q_inheritance_overlay(spark, sf_dir):
 
 
 @query("q_range_join_merge", """
-with a as (select p_partkey as a_key, p_size as a_start, p_size + 2 as a_end from part where p_partkey % 50 = 0),
-b as (select s_suppkey as b_key, s_suppkey % 40 as b_start, s_suppkey % 40 + 5 as b_end from supplier)
+with a as (select p_partkey as a_key, p_size + 60 * p_partkey as a_start, p_size + 60 * p_partkey + 2 as a_end from part),
+b as (select s_suppkey as b_key, 1000 * s_suppkey as b_start, 1000 * s_suppkey + 300 as b_end from supplier)
 select a_key, b_key, (b_start < a_start or b_end > a_end) as crosses from a join b on a_start <= b_end and b_start <= a_end""")
 def q_range_join_merge(spark, sf_dir):
-    a = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("a_key"), F.col("p_size").alias("a_start"), (F.col("p_size") + 2).alias("a_end"))
-    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("b_key"), (F.col("s_suppkey") % 40).alias("b_start"), (F.col("s_suppkey") % 40 + 5).alias("b_end"))
-    joined = graphs.overlapping(a, b, ("a_start", "a_end"), ("b_start", "b_end"), 8)
+    start = F.col("p_size") + 60 * F.col("p_partkey")
+    a = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a_key"), start.alias("a_start"), (start + 2).alias("a_end"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("b_key"), (F.col("s_suppkey") * 1000).alias("b_start"), (F.col("s_suppkey") * 1000 + 300).alias("b_end"))
+    joined = graphs.overlapping(a, b, ("a_start", "a_end"), ("b_start", "b_end"), 256)
     return joined.select("a_key", "b_key", ((F.col("b_start") < F.col("a_start")) | (F.col("b_end") > F.col("a_end"))).alias("crosses"))
 
 
@@ -168,48 +169,58 @@ def q_dedup_join_back(spark, sf_dir):
     return h.join(h.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "digest").select("doc_id", "first_id", "n")
 
 
+def _reader():
+    """Stands for an image reader: what it says is the first letters of the bytes."""
+    return lambda data: ocr.OcrResult("ok", data[:7].decode("utf-8", "ignore"), (("x", 0.5),)) if data[:1] != b"T" else ocr.OcrResult("empty")
+
+
+@query("q_ocr_fan_out", """
+select doc_id, case when starts_with(text, 'T') then 'empty' else 'ok' end as status, case when starts_with(text, 'T') then '' else left(text, 5) end as said, case when starts_with(text, 'T') then null else 0.5::double end as confidence
+from documents where regexp_full_match(left(text, 7), '[\\x00-\\x7F]*') and length(text) > 6""")
+def q_ocr_fan_out(spark, sf_dir):
+    images = table(spark, sf_dir, "documents").where(F.substring("text", 1, 7).rlike(r"^[\x00-\x7F]*$") & (F.length("text") > 6)).select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return ocr.recognise(images, _reader).select("doc_id", F.col("ocr_status").alias("status"), F.substring("ocr_text", 1, 5).alias("said"), F.col("ocr_confidence").alias("confidence"))
+
+
 @query("q_weighted_mean", """
 select lang, round(sum(quality * length(regexp_replace(text, '\\s', '', 'g')))::double / sum(length(regexp_replace(text, '\\s', '', 'g'))), 4) as mean_quality, count(*) as n
 from documents join labels using (doc_id) group by lang""")
 def q_weighted_mean(spark, sf_dir):
-    d, l = table(spark, sf_dir, "documents").select("doc_id", "lang", F.length(F.regexp_replace("text", r"\s", "")).cast("long").alias("w")), table(spark, sf_dir, "labels")
-    return d.join(l, "doc_id").groupBy("lang").agg(F.round(F.sum(F.col("quality") * F.col("w")).cast("double") / F.sum("w"), 4).alias("mean_quality"), F.count("*").alias("n"))
+    d, l = table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels")
+    return d.join(l, "doc_id").groupBy("lang").agg(F.round(ocr.weighted_mean(F.col("quality"), F.col("text")), 4).alias("mean_quality"), F.count("*").alias("n"))
 
 
 @query("q_extent", "select min(p_size) as least, max(p_size) as most, min(p_partkey) as first_key, max(p_partkey) as last_key from part")
 def q_extent(spark, sf_dir):
-    return table(spark, sf_dir, "part").agg(F.min("p_size").alias("least"), F.max("p_size").alias("most"), F.min("p_partkey").alias("first_key"), F.max("p_partkey").alias("last_key"))
+    found = selection.extent(table(spark, sf_dir, "part").select(F.col("p_size").alias("row"), F.col("p_partkey").alias("col")))
+    return found.select(F.col("top").alias("least"), F.col("bottom").alias("most"), F.col("left").alias("first_key"), F.col("right").alias("last_key"))
 
 
-_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @query("q_manifest", " union all ".join(f"select '{t}' as name, count(*) as n from {t}" for t in _TABLES))
 def q_manifest(spark, sf_dir):
-    out = None
-    for t in _TABLES:
-        one = table(spark, sf_dir, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return selection.manifest({t: table(spark, sf_dir, t) for t in _TABLES})
 
 
 @query("q_referenced_semi", "select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_orderstatus = 'F')")
 def q_referenced_semi(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_semi").select("c_custkey", "c_name")
+    return documents.referenced(table(spark, sf_dir, "customer"), orders, ["c_custkey"]).select("c_custkey", "c_name")
 
 
-@query("q_zip_points", "select label, i - 1 as place, round(avg(embedding[i]), 5) as mean, count(*) as n from (select label, embedding, unnest(range(1, 5)) as i from embeddings) group by label, i")
+@query("q_zip_points", "select label, i - 1 as place, round(avg(embedding[i]), 5) as mean, count(*) as n from (select label, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings) group by label, i")
 def q_zip_points(spark, sf_dir):
-    points = table(spark, sf_dir, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, 4)).alias("place", "v"))
+    points = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("place", "v"))
     return points.groupBy("label", F.col("place").cast("long").alias("place")).agg(F.round(F.avg("v"), 5).alias("mean"), F.count("*").alias("n"))
 
 
 @query("q_map_describe", "select event_id, 'event_type=' || event_type || ';k=' || coalesce(json_extract_string(props, '$.k'), '') as described from events")
 def q_map_describe(spark, sf_dir):
-    props = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("event_type"), "event_type"))
-    pairs = F.array_sort(F.transform(F.map_entries(props), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))))
-    return table(spark, sf_dir, "events").select("event_id", F.when(F.size(pairs) > 0, F.concat_ws(";", pairs)).otherwise("normal").alias("described"))
+    props = documents.over(F.from_json("props", "map<string,string>"), F.create_map(F.lit("event_type"), "event_type"))
+    filled = F.transform_values(props, lambda _, v: F.coalesce(v, F.lit("")))
+    return table(spark, sf_dir, "events").select("event_id", documents.described_change(filled, filled)[0].alias("described"))
 
 
 @query("q_union_intersect_except", """
@@ -240,9 +251,9 @@ def q_asof_range_join(spark, sf_dir):
 with m as (select user_id, max(case when event_type <> 'error' then event_id end) as last_id from events group by user_id)
 select event_id, e.user_id, event_type from events e join m using (user_id) where event_id <= last_id""")
 def q_residual_trim(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    last = events.where("event_type <> 'error'").groupBy("user_id").agg(F.max("event_id").alias("last_id"))
-    return events.join(last, "user_id").where("event_id <= last_id").select("event_id", "user_id", "event_type")
+    cells = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.lit("s").alias("sheet"), F.col("event_id").alias("row"), F.lit(1).alias("col"), "event_type")
+    kept = sheets.reading_cells(cells, F.col("event_type") == "error")
+    return kept.select(F.col("row").alias("event_id"), F.col("doc_id").alias("user_id"), "event_type")
 
 
 @query("q_rank_windows", "select c_custkey, rank() over w as place, dense_rank() over w as dense, ntile(4) over (partition by c_nationkey order by c_acctbal desc, c_custkey) as quarter from customer window w as (partition by c_nationkey order by c_acctbal desc)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexigrain.operators import windows
+from lexigrain.operators import selection, windows
 from lexigrain.plans.registry import query, table
 
 
@@ -35,12 +35,12 @@ def q_run_islands(spark, sf_dir):
 
 
 @query("q_rectangles", """
-with d as (select distinct day(ts)::bigint as day, user_id from events where user_id <= 40 and event_type = 'purchase'),
+with d as (select distinct day(ts)::bigint as day, user_id from events where event_type = 'purchase'),
 s as (select day, min(user_id) as start, max(user_id) as "end" from (select day, user_id, user_id - row_number() over (partition by day order by user_id) as g from d) group by day, g),
 r as (select *, day - row_number() over (partition by start, "end" order by day) as h from s)
 select min(day) as top, max(day) as bottom, start, "end" from r group by start, "end", h""")
 def q_rectangles(spark, sf_dir):
-    events = table(spark, sf_dir, "events").where("user_id <= 40 and event_type = 'purchase'")  # a cell range of the feature
+    events = table(spark, sf_dir, "events").where("event_type = 'purchase'")
     cells = events.select(F.dayofmonth("ts").cast("long").alias("day"), "user_id")
     return windows.rectangles(windows.spans(cells, ["day"], "user_id"), "day").select("top", "bottom", "start", "end")
 
@@ -94,4 +94,4 @@ def q_session_window(spark, sf_dir):
 @query("q_band_index", "select c_custkey, ((row_number() over (partition by c_nationkey order by c_custkey) - 1) // 2 % 2)::bigint as band from customer")
 def q_band_index(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
-    return table(spark, sf_dir, "customer").select("c_custkey", (F.floor(place / 2) % 2).cast("long").alias("band"))
+    return table(spark, sf_dir, "customer").select("c_custkey", selection.band_index(place, 0, 2).alias("band"))

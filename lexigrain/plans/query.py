@@ -8,6 +8,8 @@ are, so that conditions on them reach the scan. Nothing is collected.
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -94,25 +96,45 @@ _REAL = (FloatType, DoubleType)
 
 
 class Typed:
-    """A column with the number and the text that its values stand for."""
-
-    def __init__(self, column: Column, kind: DataType):
-        whole = isinstance(kind, _WHOLE) or isinstance(kind, DecimalType) and not kind.scale
-        self.native = whole or isinstance(kind, _REAL)
-        if whole:
-            self.text, self.number, self.decimal = column.cast("string"), column, F.lit(False)
-            self.group, self.exact, self.numeric = column.cast("string"), column.cast("decimal(38,0)"), column.isNotNull()
-        elif isinstance(kind, _REAL):
-            amount = column.cast("double")
-            self.text, self.number, self.decimal = decimal_text(amount), amount, column.isNotNull()
-            self.group, self.exact, self.numeric = self.text, F.lit(None).cast("decimal(38,0)"), column.isNotNull()
-        else:
-            text = column.cast("string")
-            self.text, self.number, self.decimal = value_text(text), number(text), is_decimal(text)
-            self.group = F.coalesce(same_number(text), text)
-            self.exact = F.when(is_number(text) & ~is_decimal(text), value_text(text).try_cast("decimal(38,0)"))
-            self.numeric = is_number(text)
+    """A column with the number and the text that its values stand for, each built when it is asked for.
+
+    ``made``: parts that a frame has worked out already.
+    """
+
+    def __init__(self, column: Column | None, kind: DataType, made: dict[str, Column] | None = None):
         self.column, self.kind = column, kind
+        self.whole = isinstance(kind, _WHOLE) or isinstance(kind, DecimalType) and not kind.scale
+        self.real = isinstance(kind, _REAL)
+        self.native = (self.whole or self.real) and made is None
+        for name, part in (made or {}).items():
+            self.__dict__[name] = part
+
+    @functools.cached_property
+    def text(self) -> Column:
+        return self.column.cast("string") if self.whole else decimal_text(self.column.cast("double")) if self.real else value_text(self.column.cast("string"))
+
+    @functools.cached_property
+    def number(self) -> Column:
+        return self.column if self.whole else self.column.cast("double") if self.real else number(self.column.cast("string"))
+
+    @functools.cached_property
+    def decimal(self) -> Column:
+        return F.lit(False) if self.whole else self.column.isNotNull() if self.real else is_decimal(self.column.cast("string"))
+
+    @functools.cached_property
+    def numeric(self) -> Column:
+        return self.column.isNotNull() if self.native else is_number(self.column.cast("string"))
+
+    @functools.cached_property
+    def group(self) -> Column:
+        return self.text if self.native else F.coalesce(same_number(self.column.cast("string")), self.column.cast("string"))
+
+    @functools.cached_property
+    def exact(self) -> Column:
+        if self.native:
+            return self.column.cast("decimal(38,0)") if self.whole else F.lit(None).cast("decimal(38,0)")
+        text = self.column.cast("string")
+        return F.when(is_number(text) & ~is_decimal(text), value_text(text).try_cast("decimal(38,0)"))
 
     def equals(self, value: object) -> Column:
         """As their texts are equal; an absent value's is ``None``."""
@@ -141,6 +163,8 @@ def condition(typed: Typed, c: Condition) -> Column:
         bound = float(str(c.value))
     except ValueError:
         return F.lit(False)
+    if typed.native and typed.whole and abs(bound) < 1 << 62:  # a whole bound, so that the scan can compare it
+        return typed.column > math.floor(bound) if c.op == "gt" else typed.column < math.ceil(bound)
     return typed.number > bound if c.op == "gt" else typed.number < bound
 
 
@@ -152,11 +176,18 @@ def _aggregate(a: Aggregate, typed: Typed | None) -> Column:
         return F.coalesce(decimal_text(F.round(F.avg(amount), 4)), F.lit("0"))
     if a.op == "sum":
         return F.when(F.max(typed.decimal.cast("int")) == 1, decimal_text(F.sum(amount))).otherwise(F.try_sum(typed.exact).cast("string"))
+    if typed.native:
+        found = (F.min if a.op == "min" else F.max)(typed.number)
+        return decimal_text(found.cast("double")) if typed.real else found.cast("string")
     # the least or largest value as it is typed itself; of equal ones the first
     place = F.when(typed.numeric, F.struct(amount, F.coalesce(typed.exact, amount.try_cast("decimal(38,0)")), F.col("__row") if a.op == "min" else -F.col("__row")))
     return F.min_by(typed.text, place) if a.op == "min" else F.max_by(typed.text, place)
 
 
+#: What each aggregate asks of a text column.
+_PARTS = {"count": set(), "avg": {"number"}, "sum": {"number", "decimal", "exact"}, "min": {"number", "numeric", "exact", "text"}, "max": {"number", "numeric", "exact", "text"}}
+
+
 def order_keys(typed: Typed, descending: bool) -> list[Column]:
     """Numbers before text, numbers by size, text by code point; absent counts as empty text."""
     keys = [typed.number.isNull().cast("int"), typed.number, F.when(typed.number.isNull(), F.coalesce(typed.text, F.lit("")))]
@@ -182,13 +213,22 @@ def run(df: DataFrame, query: Query, row: str | None = None) -> DataFrame:
         source = source.where(condition(typed(source, resolve(columns, c.column)), c))
     if query.group_by and query.aggregates:
         keys = list(dict.fromkeys(resolve(columns, g) for g in query.group_by))
+        needed: dict[str, set[str]] = {k: {"text", "group"} for k in keys}
+        for a in query.aggregates:
+            if a.column != "*":
+                needed.setdefault(resolve(columns, a.column), set()).update(_PARTS[a.op])
+        held = {c: typed(source, c) for c in needed}
+        ready = source.select(*(c for c in needed if held[c].native), *(getattr(held[c], p).alias(f"{c}.{p}") for c in needed if not held[c].native for p in sorted(needed[c])), "__row")
+        plain = typed
+        made = {c: Typed(ready[c], kinds[c]) if held[c].native else Typed(None, kinds[c], {p: ready[f"`{c}.{p}`"] for p in needed[c]}) for c in needed}
+        source, typed = ready, lambda _, name: made[name]
         grouped = source.groupBy(*(F.coalesce(typed(source, k).group, F.lit("")).alias(f"__g{n}") for n, k in enumerate(keys)))
         shown = [F.coalesce(F.min_by(typed(source, k).text, F.col("__row")), F.lit("")).alias(k) for k in keys]
-        made = [_aggregate(a, typed(source, resolve(columns, a.column)) if a.column != "*" else None).alias(a.name) for a in query.aggregates]
-        found = grouped.agg(*shown, *made, F.min("__row").alias("__row"))
+        totals = [_aggregate(a, typed(source, resolve(columns, a.column)) if a.column != "*" else None).alias(a.name) for a in query.aggregates]
+        found = grouped.agg(*shown, *totals, F.min("__row").alias("__row"))
         columns = [*keys, *(a.name for a in query.aggregates)]
         kinds = dict.fromkeys(columns, StringType())
-        source = found.select(*columns, "__row")
+        source, typed = found.select(*columns, "__row"), plain
     chosen = [resolve(columns, s) for s in query.select] or columns
     orders = [k for name, down in query.order_by for k in order_keys(typed(source, resolve(columns, name)), down)]
     if query.order_by or query.limit and query.limit > 0:
