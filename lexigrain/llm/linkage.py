@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS_A_TASK, cut
+from .common import ROWS_A_TASK, cut, cut_small
 
 #: Ids that may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 200_000
+#: Links of a node from which on they aren't brought together.
+MANY_LINKS = 2_000
 #: Pieces that a hot key is dealt in where its table is too large to broadcast.
 SALTS = 32
 
@@ -50,8 +52,17 @@ def components(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = cut(both.where("a <> b").distinct().coalesce(tasks))
     labels = cut(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("component")).coalesce(tasks))
+    met_by_all = labels.count() <= BROADCAST_IDS  # as many labels in every round
+    # a node that many links lead to doesn't bring them to one task
+    hot = None if met_by_all else cut_small(edges.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") >= MANY_LINKS).select("b"))
     while True:
-        near = edges.join(labels, edges.b == labels.id).select("a", "component").coalesce(tasks).groupBy("a").agg(F.min("component").alias("near"))
+        known = labels.select(F.col("id").alias("b"), "component")
+        if met_by_all:
+            told = edges.join(F.broadcast(known), "b")
+        else:
+            rest = semi(edges, hot, "b", "left_anti").join(known, "b").select("a", "b", "component")
+            told = attach(edges, cut_small(semi(known, hot, "b")), "b").select("a", "b", "component").union(rest)
+        near = told.select("a", "component").coalesce(tasks).groupBy("a").agg(F.min("component").alias("near"))
         met = labels.join(near, labels.id == near.a).select("id", F.col("component").alias("before"), F.least("component", "near").alias("c"))
         met = cut(met.coalesce(tasks))
         jump = met.select(F.col("id").alias("c"), F.col("c").alias("further"))

@@ -117,7 +117,10 @@ def test_similar_pairs_against_sets():
             assert got[i, j] == (bool(a_ & b_) and 100 * len(a_ & b_) >= 30 * len(a_ | b_))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most, many", [(200_000, 2_000), (3, 2), (0, 2)])
+def test_components(spark, monkeypatch, most, many):
+    monkeypatch.setattr(linkage, "BROADCAST_IDS", most)
+    monkeypatch.setattr(linkage, "MANY_LINKS", many)
     links = [(k, k + 1) for k in range(0, 40)] + [(100, 200), (300, 200), (7, 7)]
     got = {r["id"]: r["component"] for r in linkage.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 200: 100, 300: 100}
