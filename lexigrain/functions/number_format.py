@@ -90,7 +90,7 @@ def formula_bar(raw: str, code: str) -> str | None:
     try:
         value = Decimal(raw)
         section = choose(compile_code(code), value)[0]
-        if not value.is_finite() or not code or section.is_date or any(k == "digit" and t == "%" for k, t in section.tokens):
+        if not value.is_finite() or not code or section.is_date or any(t == "%" and k != "text" for k, t in section.tokens):
             return None
         if abs(value) >= Decimal("1e15") or 0 < abs(value) < Decimal("1e-9") or len(value.normalize().as_tuple().digits) > 15:
             return None

@@ -34,12 +34,48 @@ def test_numerals():
     assert [numbering.repeated(n) for n in (1, 26, 27, 53, 781)] == ["a", "z", "aa", "aaa", "781"]
     assert [numbering.format_number(n, "ordinalText") for n in (1, 12, 20, 21, 103)] == ["First", "Twelfth", "Twentieth", "Twenty-first", "One hundred third"]
     assert [numbering.chinese(n) for n in (0, 10, 15, 105, 1010, 10_203, 120_000)] == ["零", "十", "十五", "一百零五", "一千零一十", "一万零二百零三", "十二万"]
-    assert numbering.format_number(70_000, "hex") == "70000" and numbering.format_number(3, "no such") == "3"
+    # above what a format can write nothing is shown
+    assert numbering.format_number(70_000, "hex") == "" and numbering.format_number(3, "no such") == "3"
     assert numbering.auto_number(3, "romanUcParenBoth") == "(III)"
     assert numbering.fill_template("%1.%2%%", [3, 2], ["upperRoman", "lowerLetter"]) == "III.b%"
     assert numbering.fill_template("%1.%2", [3, 2], ["upperRoman", "lowerLetter"], legal=True) == "3.2"
 
 
+@pytest.mark.parametrize(("name", "n", "want"), [
+    ("chineseCountingThousand", 10_050, "一万〇五十"), ("taiwaneseCountingThousand", 1_010, "一千零一十"), ("chineseLegalSimplified", 12_345, "壹萬贰仟叁佰肆拾伍"), ("japaneseCounting", 1_105, "千一百五"), ("japaneseLegal", 21, "弐拾壱"),
+    ("koreanCounting", 12_345, "만이천삼백사십오"), ("koreanLegal", 21, "스물하나"), ("hebrew1", 115, "קטו"), ("hebrew2", 23, "\u200fאת"), ("ideographZodiacTraditional", 61, "甲子"), ("thaiCounting", 121, "หนึ่งร้อยยี่สิบเอ็ด"), ("vietnameseCounting", 21, "Hai mươi mốt"), ("chicago", 5, "**"), ("decimalEnclosedCircleChinese", 11, "11"),
+])
+def test_word_formats(name, n, want):
+    assert numbering.format_number(n, name) == want
+
+
+def test_languages_and_patterns():
+    assert [numbering.format_number(n, "cardinalText", "es-ES") for n in (21, 100, 1_999, 31_021)] == ["Veintiuno", "Cien", "Mil novecientos noventa y nueve", "Treinta y un mil veintiuno"]
+    assert [numbering.format_number(n, "ordinalText", "de") for n in (1, 3, 19, 21, 101)] == ["Erste", "Dritte", "Neunzehnte", "Einundzwanzigste", "Einhunderterste"]
+    assert (numbering.format_number(1, "ordinal", "fr"), numbering.format_number(29, "lowerLetter", "nb")) == ("1er", "å")
+    assert [numbering.custom_number(7, p) for p in ("(001)", "Art. I", "ｱ", "xyz", "a0")] == ["(007)", "Art. VII", "ｷ", None, None]
+    assert [numbering.auto_number(27, s) for s in ("alphaLcParenRight", "arabicDbPeriod", "hebrew2Minus", "circleNumDbPlain")] == ["aa)", "２７．", "27", "27"]
+
+
+def test_chinese_numbers_and_edit_forms():
+    assert [number_format.chinese_value(v, 1) for v in ("0", "10", "10010", "100000001", "-2.5")] == ["○", "一十", "一万○一十", "一亿○一", "-二.五"]
+    assert number_format.chinese_value("12345", 2) == "壹万贰仟叁佰肆拾伍"
+    told = [("1500", "#,##0.00"), ("0.25", "0%"), ("44927", "yyyy/m/d"), ("1e16", "0"), ("0.1234567890123456", "0"), ("-0.50", "General"), ("x", "0")]
+    assert [number_format.formula_bar(*t) for t in told] == ["1500", None, None, None, None, "-0.5", None]
+    assert [number_format.built_in_code(n) for n in (5, 44, 14, 999)] == ["$#,##0_);($#,##0)", '_($* #,##0.00_);_($* (#,##0.00);_($* "-"??_);_(@_)', "m/d/yyyy", "General"] and number_format.built_in_code(31, "zh_CN") == 'yyyy"年"m"月"d"日"'
+
+
+def test_colors_and_fields():
+    from lexigrain.functions import text_marks
+
+    assert colors.spreadsheet_color({"indexed": "10"}) == "#FF0000" and colors.spreadsheet_color({"theme": "1"}) == "#000000" and colors.spreadsheet_color({"rgb": "FF00FF00", "tint": "0.5"}) == "#80FF80" and colors.spreadsheet_color({"auto": "1"}) is None
+    assert colors.word_color("auto") is None and colors.word_color("ff0000") == "#FF0000" and colors.word_color("x", "text1") == "#000000"
+    assert text_marks.field(' HYPERLINK "a \\"b\\" c" \\l "x" ') == {"kind": "hyperlink", "href": 'a "b" c', "anchor": "x"} and text_marks.field("PAGE") is None and text_marks.field("REF b \\h") == {"kind": "reference", "anchor": "b"}
+    for bad in ('REF "open', "REF a b", "REF a \\z", "HYPERLINK \\l"):
+        with pytest.raises(ValueError):
+            text_marks.field(bad)
+
+
 def test_native_numerals(spark):
     n = spark.range(1, 4000)
     for r in n.select("id", numbering.roman_column(n["id"]), numbering.repeated_column(n["id"]), numbering.ordinal_column(n["id"])).collect():
